@@ -231,7 +231,7 @@ def linked(docs: DataFrame, width: int = 4, limit: int = LIMIT) -> DataFrame:
         links = links.unionByName(more)
     member = sig.join(classes, sets, "left").select("doc_id", "n_shingles", "rep")
     tops = labels.select(F.col("doc_id").alias("_doc"), "component")
-    out = member.join(tops, F.col("rep") == F.col("_doc"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    out = member.join(tops, F.col("rep") == F.col("_doc"), "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

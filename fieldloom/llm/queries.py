@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontamination, line_dedup, near_dedup, packing, quality
+from . import decontamination, line_dedup, lm_scoring, near_dedup, packing, pii, quality, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": decontamination.op1_benchmark_decontamination,
@@ -16,6 +16,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_token_counts": token_counts.op7_token_counts,
+    "op8_secret_scan": secrets.op8_secret_scan,
+    "op9_pii": pii.op9_pii,
+    "op10_lm_scoring": lm_scoring.op10_lm_scoring,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -87,8 +87,14 @@ def words(offsets: np.ndarray, raw: np.ndarray, lower: bool = True, punctuation:
     lower: A-Z count as a-z. punctuation=False: ASCII punctuation is
     removed before; words of nothing else vanish.
     """
+    found, starts = heads(offsets, raw, (0,), lower, punctuation)
+    return found[0], starts
+
+
+def heads(offsets: np.ndarray, raw: np.ndarray, sizes: tuple[int, ...], lower: bool = True, punctuation: bool = True) -> tuple[list[np.ndarray], np.ndarray]:
+    """As words, for each size with the hashes of the words' first `size` bytes (0: all); a head never equals a shorter word."""
     n = len(offsets) - 1
-    found, counts = [], np.zeros(n, np.int64)
+    found, counts = [[] for _ in sizes], np.zeros(n, np.int64)
     letters = LOWER if lower else EXACT
     if not punctuation and len(raw):
         raw = raw[offsets[0] : offsets[-1]]
@@ -114,11 +120,14 @@ def words(offsets: np.ndarray, raw: np.ndarray, lower: bool = True, punctuation:
         end = np.flatnonzero(full & ~after) + 1
         total = np.zeros(len(block) + 1, np.uint64)
         np.cumsum(letters[block] * up[: len(block)], out=total[1:])
-        found.append(mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+        for k, size in enumerate(sizes):
+            to = np.minimum(start + size, end) if size else end
+            kind = (to - start).astype(np.uint64) + np.uint64(size << 32)
+            found[k].append(mix((total[to] - total[start]) * down[start] + kind * np.uint64(0xA0761D6478BD642F)))
         counts += np.bincount(np.searchsorted(offsets, start + at, side="right") - 1, minlength=n)[:n]
     starts = np.zeros(n + 1, np.int64)
     np.cumsum(counts, out=starts[1:])
-    return (np.concatenate(found) if found else np.zeros(0, np.uint64)), starts
+    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in found], starts
 
 
 def shingles(hashes: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
