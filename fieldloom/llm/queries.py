@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from . import decontamination, line_dedup, lm_scoring, near_dedup, packing, pii, quality, secrets, token_counts, toxicity
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": decontamination.op1_benchmark_decontamination,
@@ -23,5 +26,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
     "pipeline": corpus_pipeline.run,
 }
-
-ORACLES: dict[str, str] = {}
