@@ -176,16 +176,15 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, seen, encode = TaskContext.get().partitionId(), {}, encoder(path)
-        end = np.array([END_ID], "<u4").tobytes()
-        for batch in pieces(batches, "raw", 4 << 20):
+        task, seen, encode = TaskContext.get().partitionId(), {}, encoder(path).encode
+        for batch in pieces(batches, "raw"):
             rows = []
-            for doc, own in zip(batch.column("doc_id").to_pylist(), encode(batch.column("raw").to_pylist()), strict=True):
-                ids = own + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    piece = ids[at : at + 4 * capacity]
-                    n = len(piece) // 4
-                    rows.append((doc, k, at // 4, n, zlib.crc32(piece), task, seen.get(n, 0)))
+            ids, starts = encode(batch.column("raw"), END_ID)
+            ids = ids.astype("<u4", copy=False)
+            for d, doc in enumerate(batch.column("doc_id").to_pylist()):
+                for k, at in enumerate(range(starts[d], starts[d + 1], capacity)):
+                    n = min(capacity, int(starts[d + 1]) - at)
+                    rows.append((doc, k, k * capacity, n, zlib.crc32(ids[at : at + n]), task, seen.get(n, 0)))
                     seen[n] = rows[-1][-1] + 1
             columns = zip(*rows, strict=True)
             kinds = [batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]

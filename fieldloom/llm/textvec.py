@@ -91,8 +91,13 @@ def words(offsets: np.ndarray, raw: np.ndarray, lower: bool = True, punctuation:
     return found[0], starts
 
 
-def heads(offsets: np.ndarray, raw: np.ndarray, sizes: tuple[int, ...], lower: bool = True, punctuation: bool = True) -> tuple[list[np.ndarray], np.ndarray]:
-    """As words, for each size with the hashes of the words' first `size` bytes (0: all); a head never equals a shorter word."""
+def heads(
+    offsets: np.ndarray, raw: np.ndarray, sizes: tuple[int, ...], lower: bool = True, punctuation: bool = True, places: list | None = None
+) -> tuple[list[np.ndarray], np.ndarray]:
+    """As words, for each size with the hashes of the words' first `size` bytes (0: all); a head never equals a shorter word.
+
+    places: a list that gets (begins, ends), the words' places in raw, for each block.
+    """
     n = len(offsets) - 1
     found, counts = [[] for _ in sizes], np.zeros(n, np.int64)
     letters = LOWER if lower else EXACT
@@ -124,6 +129,8 @@ def heads(offsets: np.ndarray, raw: np.ndarray, sizes: tuple[int, ...], lower: b
             to = np.minimum(start + size, end) if size else end
             kind = (to - start).astype(np.uint64) + np.uint64(size << 32)
             found[k].append(mix((total[to] - total[start]) * down[start] + kind * np.uint64(0xA0761D6478BD642F)))
+        if places is not None:
+            places.append((start + at, end + at))
         counts += np.bincount(np.searchsorted(offsets, start + at, side="right") - 1, minlength=n)[:n]
     starts = np.zeros(n + 1, np.int64)
     np.cumsum(counts, out=starts[1:])

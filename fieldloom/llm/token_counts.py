@@ -31,9 +31,9 @@ def histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen = encoder(path), Counter()
-        for batch in pieces(batches, "raw", 4 << 20):
-            seen.update(len(x) // 4 for x in encode(batch.column("raw").to_pylist()))
+        lengths, seen = encoder(path).lengths, Counter()
+        for batch in pieces(batches, "raw"):
+            seen.update(lengths(batch.column("raw")).tolist())
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["n_tokens", "n_docs"])
 

@@ -2,17 +2,25 @@
 
 A public tokenizer whose pre-tokens never span ASCII white space encodes
 each white-space-delimited chunk by itself. So ids are looked up in a
-table of chunks, filled by the tokenizer where a chunk is new; the table
-is emptied when it reaches a fixed number of entries, so memory is bounded.
-Texts that may hold a special token's string go to the tokenizer whole.
+table of chunks (by a 64-bit hash, A-Z as a-z), filled where a chunk is
+new; the table is emptied when it reaches a fixed number of entries, so
+memory is bounded. Lookups and joins are array operations over a batch.
+Texts that hold a special token's string go to the tokenizer whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+
+from . import textvec
+from .common import buffers
 
 #: The table is emptied beyond this many chunks.
 MOST_CHUNKS = 800_000
@@ -25,12 +33,21 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
     return public_tokenizers.path(name)
 
+#: Bytes and the characters that stand for them in byte-level vocabularies: printable ones for themselves, others from U+0100 on.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_REST = [b for b in range(256) if b not in _PLAIN]
+_BYTES = [*_PLAIN, *_REST]
+_CHARS = [*map(chr, _PLAIN), *(chr(0x100 + k) for k in range(len(_REST)))]
+
 
 class ChunkEncoder:
-    """ids of texts as little-endian uint32 bytes, equal to Tokenizer.encode(text, add_special_tokens=False).ids.
+    """ids of texts, equal to Tokenizer.encode(text, add_special_tokens=False).ids.
 
-    For tokenizers that drop white space and pre-tokenize into runs of
-    letters, single digits and runs of marks, with lower-casing and NFC.
+    For tokenizers that drop white space, lower-case with NFC, pre-tokenize
+    into runs of letters, single digits and runs of marks, and merge bytes
+    with an end-of-word suffix, ids in the order of the merges. Letter runs
+    and runs of marks at a chunk's end go through a faster byte-pair
+    engine with the same vocabulary, everything else through the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -38,58 +55,134 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.table: dict[bytes, bytes] = {}
-
-    def _fill(self, chunks: set[bytes]) -> None:
-        if len(self.table) + len(chunks) > MOST_CHUNKS:
-            self.table.clear()
-        parts, ask = {}, set()
-        for c in chunks:
-            low = c.lower() if c.isascii() else c
-            found = TAIL.match(low)
-            if found and found[1] and (found[1][-1:].isalnum() or found[1][-1] >= 0x80 and found[1].decode()[-1].isalnum()):
-                parts[c] = found.groups()
+        self.table: dict[int, int] = {}
+        self._clear()
+        self.merged = self._engine(path)
+
+    @staticmethod
+    def _engine(path: str) -> Callable[[bytes], list[int]] | None:
+        """ids of one pre-token, or None where the vocabulary isn't of this kind. The suffix is the byte FF, which no text has."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        if model.get("end_of_word_suffix") != "</w>" or model.get("ignore_merges") or model.get("dropout"):
+            return None
+        byte = {c: b for b, c in zip(_BYTES, _CHARS, strict=True)}
+        ranks = {}
+        for word, rank in model["vocab"].items():
+            end = word.endswith("</w>") and word != "</w>"
+            own = word[:-4] if end else word
+            if all(c in byte for c in own):
+                ranks[bytes(byte[c] for c in own) + b"\xff" * end] = rank
+        if any(bytes([b]) not in ranks or bytes([b, 255]) not in ranks for b in range(255)):
+            return None
+        ranks[b"\xff"] = max(model["vocab"].values()) + 1
+        made = tiktoken.Encoding("own", pat_str=r"[^\s]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        return lambda piece: made.encode_single_piece(piece + b"\xff")
+
+    def _letters(self, part: bytes) -> bytes | None:
+        """The pre-token that a run of letters becomes, or None where only the tokenizer can tell."""
+        if part.isalpha():
+            return part.lower()
+        if part.isascii():
+            return None
+        text = part.decode()
+        low = text.lower()
+        same = text.isalpha() and len(low) == len(text) and "\u03a3" not in text and unicodedata.is_normalized("NFC", text)
+        return low.encode() if same else None
+
+    def _ids(self, chunks: list[bytes]) -> list[list[int]]:
+        """ids of each chunk."""
+        out: list = [None] * len(chunks)
+        rest = []
+        for k, c in enumerate(chunks):
+            found = TAIL.match(c)
+            head, tail = found.groups() if found else (c, b"")
+            own = self._letters(head) if self.merged else None
+            if own is None:
+                rest.append(k)
             else:
-                parts[c] = (low,)
-            ask.update(x for x in parts[c] if x not in self.table)
-        asked = list(ask)
-        for c, e in zip(asked, self.tokenizer.encode_batch_fast([x.decode() for x in asked], add_special_tokens=False), strict=True):
-            self.table[c] = np.array(e.ids, "<u4").tobytes()
-        for c, own in parts.items():
-            self.table[c] = b"".join([self.table[x] for x in own])
-
-    def encode(self, raws: list[bytes]) -> list[bytes]:
-        split = [raw.split() for raw in raws]
-        get = self.table.get
-        missing = {c for own in split for c in own if get(c) is None}
-        if len(missing) > MOST_CHUNKS:  # more than fits: document by document
-            return [x for raw in raws for x in self._single(raw)]
+                out[k] = self.merged(own) + self.merged(tail) if tail else self.merged(own)
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[k].decode() for k in rest], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
+
+    def _entries(self, offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The table entry of every chunk, and where each text's chunks begin."""
+        places: list = []
+        (hashes,), starts = textvec.heads(offsets, raw, (0,), places=places)
+        if not len(hashes):
+            return np.zeros(0, np.int64), starts
+        own, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        keys, get = own.tolist(), self.table.get
+        entry = [get(k, -1) for k in keys]
+        missing = [k for k, e in enumerate(entry) if e < 0]
         if missing:
-            known = len(self.table)
-            self._fill(missing)
-            if len(self.table) < known:  # it was emptied
-                self._fill({c for own in split for c in own} - self.table.keys())
-        out = []
-        for raw, own in zip(raws, split, strict=True):
-            if b"<|" in raw and any(x in raw for x in self.special):
-                out.append(self._whole(raw))
-            else:
-                ids = [get(c) for c in own]
-                out.append(self._whole(raw) if None in ids else b"".join(ids))
+            if len(self.table) + len(missing) > MOST_CHUNKS and self.table:
+                self._clear()
+                return self._entries(offsets, raw)
+            begin, end = (np.concatenate(x) for x in zip(*places, strict=True))
+            at = first[missing]
+            chunks = [raw[a:b].tobytes() for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
+            found = self._ids(chunks)
+            base = len(self.begins) - 1
+            flat = np.fromiter(chain.from_iterable(found), np.uint32)
+            self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum([len(x) for x in found])])
+            self.ids = np.concatenate([self.ids, flat])
+            for n, k in enumerate(missing):
+                entry[k] = self.table[keys[k]] = base + n
+        return np.array(entry, np.int64)[back], starts
+
+    def _clear(self) -> None:
+        self.table.clear()
+        self.ids, self.begins = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _whole(self, offsets: np.ndarray, raw: np.ndarray) -> dict[int, np.ndarray]:
+        """ids of the texts that hold a special token's string, by place."""
+        data = raw[offsets[0] : offsets[-1]].tobytes()
+        if not any(x in data for x in self.special):
+            return {}
+        out = {}
+        for d in range(len(offsets) - 1):
+            text = data[offsets[d] - offsets[0] : offsets[d + 1] - offsets[0]]
+            if any(x in text for x in self.special):
+                out[d] = np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
         return out
 
-    def _single(self, raw: bytes) -> list[bytes]:
-        return self.encode([raw]) if len(set(raw.split())) <= MOST_CHUNKS else [self._whole(raw)]
+    def lengths(self, column: pa.Array) -> np.ndarray:
+        """Number of ids of each text."""
+        offsets, raw = buffers(column)
+        entry, starts = self._entries(offsets, raw)
+        total = np.concatenate([[0], np.cumsum(np.diff(self.begins)[entry])])
+        out = np.diff(total[starts])
+        for d, ids in self._whole(offsets, raw).items():
+            out[d] = len(ids)
+        return out
 
-    def _whole(self, raw: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    def encode(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in one array, and where each text's begin; end: an id put after every text."""
+        offsets, raw = buffers(column)
+        entry, starts = self._entries(offsets, raw)
+        sizes = np.diff(self.begins)[entry]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        lengths = np.diff(total[starts])
+        flat = self.ids[np.repeat(self.begins[entry] - total[:-1], sizes) + np.arange(total[-1])]
+        whole = self._whole(offsets, raw)
+        if end is None and not whole:
+            return flat, np.concatenate([[0], np.cumsum(lengths)])
+        parts, tail = [], np.array([] if end is None else [end], np.uint32)
+        for d in range(len(lengths)):
+            parts += [whole[d] if d in whole else flat[total[starts[d]] : total[starts[d + 1]]], tail]
+        begins = np.cumsum([0, *(len(parts[k]) + len(tail) for k in range(0, len(parts), 2))])
+        return (np.concatenate(parts) if parts else flat), begins
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
+def encoder(path: str) -> ChunkEncoder:
     """The encoder of this process for a tokenizer file."""
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path].encode
+    return _ENCODERS[path]
