@@ -31,6 +31,9 @@ class Expr:
             cls._pool[key] = self
         return cls._pool[key]
 
+    def __reduce__(self) -> tuple:
+        return Expr, (self.op, self.args, self.payload)
+
     def __add__(self, o: Expr | Number) -> Expr:
         return add(self, wrap(o))
 
