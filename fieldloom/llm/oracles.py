@@ -43,6 +43,7 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 
 _CHARS = "length(regexp_replace({0}, '[\\x20\\x09-\\x0D]+', '', 'g'))"
 _MARKS = _quoted(quality.MARKS)
+_BOILERPLATE = " OR ".join(f"contains(lower(line), {_quoted(x)})" for x in quality.BOILERPLATE)
 QUALITY = f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '{WHITE}'), lambda x: x <> '') ws, string_split(text, chr(10)) ls FROM t),
@@ -52,7 +53,7 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(
 l AS (SELECT doc_id, i, line, {_CHARS.format("line")} AS chars, length(line) - length(translate(line, {_MARKS}, '')) AS marks,
              length(line) - length(translate(line, '|', '')) AS pipes, len(list_filter(string_split_regex(line, '{WHITE}'), lambda x: x <> '')) AS n
       FROM (SELECT doc_id, unnest(ls) line, generate_subscripts(ls, 1) i FROM w)),
-f AS (SELECT *, n > 0 AND (marks * 10 > chars OR pipes >= 3 OR (n < 3 AND NOT regexp_matches(line, {_quoted(quality.TERMINAL)})) OR regexp_matches(line, {_quoted(quality.BOILERPLATE)})) AS fails FROM l),
+f AS (SELECT *, n > 0 AND (marks * 10 > chars OR pipes >= 3 OR (n < 3 AND NOT contains({_quoted(quality.TERMINAL)}, right(regexp_replace(line, '{WHITE}$', ''), 1))) OR {_BOILERPLATE}) AS fails FROM l),
 k AS (SELECT doc_id, count(*) FILTER (WHERE fails) AS n_lines_failed, coalesce(sum(chars) FILTER (WHERE NOT fails), 0)::BIGINT AS kept_chars,
              coalesce(sum(n) FILTER (WHERE NOT fails), 0) AS kept_words, count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS n_dup_lines
       FROM f GROUP BY doc_id),

@@ -25,10 +25,12 @@ SYMBOLS = "#*$%&|<>"
 #: More of these than a tenth of a line's word characters: a line of marks.
 MARKS = "#*$%&|<>!=~^_{}[]\\"
 BOILERPLATE = (
-    r"(?i)all rights reserved|licensed under|released under the|cookie|privacy policy|terms of use"
-    r"|terms of service|lorem ipsum|enable javascript|click here|subscribe|skip to content|powered by"
-)
-TERMINAL = r"[.!?:;,)\"'\x{2026}\x{3002}\x{00BB}\x{201D}][\x20\x09-\x0D]*$"
+    "all rights reserved", "licensed under", "released under the", "cookie", "privacy policy", "terms of use", "terms of service",
+    "lorem ipsum", "enable javascript", "click here", "subscribe", "skip to content", "powered by",
+)
+#: What a line of fewer than three words must end with.
+TERMINAL = ".!?:;,)\"'\u2026\u3002\u00bb\u201d"
+SPACES = " \t\n\x0b\x0c\r"
 LEAST_KEPT, LEAST_WORDS = 0.3, 5
 
 
@@ -72,26 +74,38 @@ def repeated_words(words: Column, width: int = 5) -> Column:
     return let(words, lambda w: F.when(F.size(w) < width, F.lit(0).cast("long")).otherwise(let(windows(w), counted)))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line that has a word breaks a rule."""
-    chars = _without(line, " \t\n\x0b\x0c\r")
+def _boilerplate(text: Column) -> Column:
+    def any_of(low: Column) -> Column:
+        out = F.contains(low, F.lit(BOILERPLATE[0]))
+        for phrase in BOILERPLATE[1:]:
+            out = out | F.contains(low, F.lit(phrase))
+        return out
+
+    return let(F.lower(text), any_of)
+
+
+def line_fails(line: Column, marked: Column, piped: Column, boilerplate: Column) -> Column:
+    """Whether a line that has a word breaks a rule; the flags say which rules any line of the text can break."""
+    chars = _without(line, SPACES)
     marks = F.length(line) - _without(line, MARKS)
     pipes = F.length(line) - _without(line, "|")
-    short = F.size(word_list(line)) < 3
-    return (marks * 10 > chars) | (pipes >= 3) | (short & ~line.rlike(TERMINAL)) | line.rlike(BOILERPLATE)
+    ended = F.right(F.rtrim(line, F.lit(SPACES)), F.lit(1)).isin(*TERMINAL)
+    return (marked & (marks * 10 > chars)) | (piped & (pipes >= 3)) | (~ended & (F.size(word_list(line)) < 3)) | (boilerplate & _boilerplate(line))
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """docs with the base counts, base_failed, kept, kept_text, n_lines_failed and kept_chars."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    worded = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
-    lines = F.split(text, "\n", -1)
-    first = docs.withColumns({"_words": word_list(text), "_lines": lines, "_good": F.filter(lines, lambda x: ~worded(x) | ~line_fails(x))})
+    worded = lambda x: F.length(F.ltrim(x, F.lit(SPACES))) > 0
+    flagged = docs.withColumns(
+        {"_words": word_list(text), "_lines": F.split(text, "\n", -1), "_marked": _without(text, MARKS) < F.length(text), "_piped": F.contains(text, F.lit("|")), "_boilerplate": _boilerplate(text)}
+    )
+    first = flagged.withColumn("_good", F.filter("_lines", lambda x: ~worded(x) | ~line_fails(x, F.col("_marked"), F.col("_piped"), F.col("_boilerplate"))))
     own = F.filter(F.col("_lines"), worded)
     second = first.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
-            "word_chars": _without(text, " \t\n\x0b\x0c\r").cast("long"),
+            "word_chars": _without(text, SPACES).cast("long"),
             "n_symbols": (F.length(text) - _without(text, SYMBOLS)).cast("long"),
             "n_dup_lines": let(own, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
             "n_repeat_words": repeated_words(F.col("_words")),
@@ -102,12 +116,12 @@ def judged(docs: DataFrame) -> DataFrame:
     third = second.withColumns(
         {
             "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
-            "kept_chars": _without(F.col("kept_text"), " \t\n\x0b\x0c\r").cast("long"),
+            "kept_chars": F.when(F.col("n_lines_failed") == 0, F.col("word_chars")).otherwise(_without(F.col("kept_text"), SPACES).cast("long")),
         }
     )
     whole = F.col("n_lines_failed") == 0
     enough = (F.col("kept_chars") >= LEAST_KEPT * F.col("word_chars")) & (whole | (F.size(word_list(F.col("kept_text"))) >= LEAST_WORDS))
-    return third.withColumn("kept", ~F.col("base_failed") & enough).drop("_words", "_lines", "_good")
+    return third.withColumn("kept", ~F.col("base_failed") & enough).drop("_words", "_lines", "_good", "_marked", "_piped", "_boilerplate")
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -119,7 +133,8 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """Kept documents, their failing lines gone; same columns."""
-    out = judged(docs.select(F.struct("*").alias("_row"), "text")).filter("kept")
+    # the fence keeps the filter above the projection; pushed below, it would compute everything again, several times
+    out = judged(docs.select(F.struct("*").alias("_row"), "text")).withColumn("_fence", F.monotonically_increasing_id()).filter("kept and _fence >= 0")
     new = {"text": F.when(F.col("n_lines_failed") > 0, F.col("kept_text")).otherwise(F.col("_row.text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length(new["text"]).cast(docs.schema["n_chars"].dataType)
