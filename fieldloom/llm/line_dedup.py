@@ -171,9 +171,9 @@ class LineState:
 
     def _after(self, rows: DataFrame, touched: DataFrame) -> LineState:
         """The state with these postings, of which only touched keys have new counts."""
-        rows, _ = staged(rows)
+        rows, _ = staged(rows.select("key", "doc_id"))
         new = counted(rows.join(touched, "key", "left_semi")).filter(F.col("n_docs") >= self.least)
-        counts, _ = staged(self.counts.join(touched, "key", "left_anti").unionByName(new))
+        counts, _ = staged(self.counts.join(touched, "key", "left_anti").unionByName(new).select("key", "n_docs", "last_doc"))
         old, now = self.counts.select("key"), counts.select("key")
         change = now.join(old, "key", "left_anti").select("key", F.lit(True).alias("add")).unionByName(old.join(now, "key", "left_anti").select("key", F.lit(False).alias("add")))
 
