@@ -12,7 +12,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import oracle
+from . import models, oracle
 from .functions import material
 from .mesh import Mesh
 from .operators import anisotropy, diagnostics, elastic, faces, index, lattice, mask, meshmap, noise, reduce, simplex, solvers, stencils
@@ -497,6 +497,55 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ev.sequential_step(g, [("p", 0.25 * stencils.laplacian(P, g.mesh), True), ("q", P - Q, True), ("r", P * Q, False)], 0.5).df, 9)
 
 
+_S2 = "(t.p*t.p+t.q*t.q)"
+_HQ = lambda f: f"({f}*{f}*{f}*({f}*(6*{f}-15)+10))"
+
+
+@query("ostwald_step", chain([
+    ({"c": lambda n: "t.v/1024", "s": lambda n: _S2}, ("p", "q")),
+    ({"mu": lambda n: f"4*(t.c-0.3)+4*(0.3-0.7)*({_HQ('t.p')}+{_HQ('t.q')})-3*{_L('c')(n)}",
+      "dp": lambda n: f"5*(3*{_L('p')(n)}-(2*(pow(0.7-t.c,2)-pow(t.c-0.3,2))*30*t.p*t.p*(1-t.p)*(1-t.p)+2*t.p*(1-t.p)*(1-2*t.p)+10*t.p*(t.s-t.p*t.p)))",
+      "dq": lambda n: f"5*(3*{_L('q')(n)}-(2*(pow(0.7-t.c,2)-pow(t.c-0.3,2))*30*t.q*t.q*(1-t.q)*(1-t.q)+2*t.q*(1-t.q)*(1-2*t.q)+10*t.q*(t.s-t.q*t.q)))"}, ("c", "p", "q")),
+    ({"c": lambda n: f"t.c+0.000731234567::DOUBLE*5*{_L('mu')(n)}", "p": lambda n: "t.p+0.000731234567::DOUBLE*t.dp", "q": lambda n: "t.q+0.000731234567::DOUBLE*t.dq"}, ()),
+], " SELECT i, j, k, ROUND(c, 9)+0.0 AS c, ROUND(p, 9)+0.0 AS p, ROUND(q, 9)+0.0 AS q FROM g3"))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = ingest.lineitem_grid(spark, sf_dir)
+    s = System(g.with_df(g.df.select("i", "j", "k", "p", "q", (F.col("v") / 1024).alias("c"))))
+    models.ostwald(s, ["p", "q"])
+    s.advance(0.000731234567)
+    return _rounded(s.grid.df.select("i", "j", "k", "c", "p", "q"), 9)
+
+
+@query("multiphase_step")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = ingest.lineitem_grid(spark, sf_dir)
+    g = g.assign({"a": 0.5 * P, "b": 0.5 * Q, "c": 1 - 0.5 * P - 0.5 * Q})
+    pairs = {frozenset(x): 1.0 for x in (("a", "b"), ("a", "c"), ("b", "c"))}
+    mu, rates = models.multiphase(g.mesh, ["a", "b", "c"], pairs, pairs, pairs)
+    s = System(g.with_df(g.df.select("i", "j", "k", "a", "b", "c")))
+    s.define_many(mu)
+    for name, rate in rates.items():
+        s.evolve(name, rate)
+    s.advance(0.001)
+    return _rounded(simplex.project(s.grid.df.select("i", "j", "k", "a", "b", "c"), ["a", "b", "c"]), 9)
+
+
+@query("dendrite_step")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = ingest.lineitem_grid(spark, sf_dir, Boundary())
+    rate, heat = models.dendrite(g.mesh, Schemes(), "p", "q")
+    g = g.assign({"dp": rate, "dq": heat})
+    return _rounded(g.assign({"p": P + 0.001 * field("dp"), "q": Q + 0.001 * (field("dq") + 0.5 * field("dp"))}).df.select("i", "j", "k", "p", "q"), 9)
+
+
+@query("anti_trapping")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = ingest.lineitem_grid(spark, sf_dir)
+    _, cs, cl = _KKS.partition(Q, material.h_cubic(P))
+    g = g.assign({"cs": cs, "cl": cl, "rate": stencils.laplacian(P, g.mesh)})
+    return _rounded(g.select({"a": faces.anti_trapping(g.mesh, field("cl"), field("cs"), P, field("rate"), 0.35, 1.0)}), 9)
+
+
 @query("adaptive_rate", chain([({"r": _L("p")}, ())], " SELECT MAX(abs(r)) AS rate_p FROM g1"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = ingest.lineitem_grid(spark, sf_dir)
