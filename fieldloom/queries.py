@@ -401,7 +401,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ingest.lineitem_grid(spark, sf_dir).df.select("i", "j", "k", _TABLE.lookup(F.col("p"), F.col("q") * 3).alias("f")), 6)
 
 
-@query("table_slope")
+_BILINEAR = "(1 - ({c} * 4 - least(floor({c} * 4), 3))) * ((1 - ({t} - least(floor({t}), 2))) * pow(3 * least(floor({c} * 4), 3) - least(floor({t}), 2), 2) + ({t} - least(floor({t}), 2)) * pow(3 * least(floor({c} * 4), 3) - least(floor({t}), 2) - 1, 2)) + ({c} * 4 - least(floor({c} * 4), 3)) * ((1 - ({t} - least(floor({t}), 2))) * pow(3 * least(floor({c} * 4), 3) + 3 - least(floor({t}), 2), 2) + ({t} - least(floor({t}), 2)) * pow(3 * least(floor({c} * 4), 3) + 2 - least(floor({t}), 2), 2))"
+_at = lambda c, t: "(" + _BILINEAR.replace("{c}", f"({c})").replace("{t}", f"({t})") + ")"
+
+
+@query("table_slope", with_steps(f""" SELECT i, j, k, ROUND(({_at('least(p + 0.125, 1)', 'q * 3')} - {_at('greatest(p - 0.125, 0)', 'q * 3')}) / (least(p + 0.125, 1) - greatest(p - 0.125, 0)), 6) + 0.0 AS "dfdc",
+ ROUND(({_at('p', 'least(q * 3 + 0.5, 3)')} - {_at('p', 'greatest(q * 3 - 0.5, 0)')}) / (least(q * 3 + 0.5, 3) - greatest(q * 3 - 0.5, 0)), 6) + 0.0 AS "dfdT" FROM g"""))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ingest.lineitem_grid(spark, sf_dir).df.select("i", "j", "k", _TABLE.slope(F.col("p"), F.col("q") * 3).alias("dfdc"), _TABLE.slope(F.col("p"), F.col("q") * 3, "t").alias("dfdT")), 6)
 
@@ -650,7 +655,21 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_LB.macroscopic(_populations(spark, sf_dir)), 9)
 
 
-@query("lattice_collide")
+def _collide_sql(q: int) -> Callable:
+    w, cx, cy = ("4.0::DOUBLE/9", "1.0::DOUBLE/9", "1.0::DOUBLE/36")[0 if q == 0 else 1 if q < 5 else 2], lattice.CX[q], lattice.CY[q]
+    cu = f"({cx}*t.ux+{cy}*t.uy)"
+    relaxed = f"t.f{q}-(t.f{q}-{w}*t.rho*(1+3*{cu}+4.5*{cu}*{cu}-1.5*(t.ux*t.ux+t.uy*t.uy)))/0.8::DOUBLE"
+    return lambda n: f"{relaxed}+0.375::DOUBLE*{w}*(3*({cx}-t.ux)*0.001::DOUBLE+9*{cu}*{cx}*0.001::DOUBLE)"
+
+
+_MOMENTS = {
+    "rho": lambda n: "(" + "+".join(f"t.f{q}" for q in range(9)) + ")",
+    "ux": lambda n: "(" + "+".join(f"({lattice.CX[q]})*t.f{q}" for q in range(9)) + "+0.0005::DOUBLE)/(" + "+".join(f"t.f{q}" for q in range(9)) + ")",
+    "uy": lambda n: "(" + "+".join(f"({lattice.CY[q]})*t.f{q}" for q in range(9)) + ")/(" + "+".join(f"t.f{q}" for q in range(9)) + ")",
+}
+
+
+@query("lattice_collide", chain([(_FEQ, ()), (_MOMENTS, tuple(f"f{q}" for q in range(9))), ({f"f{q}": _collide_sql(q) for q in range(9)}, ())], f" SELECT i, j, k, {_ALLF} FROM g3"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_LB.collide(_populations(spark, sf_dir)).df.select("i", "j", "k", *lattice.NAMES), 9)
 
