@@ -47,8 +47,19 @@ def dropped(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of a batch that is sent to Python, so that batches of texts stay at a few MB.
+BATCH_ROWS = 1000
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """The same rows; the session's batches for Python are made small, which bounds memory beside the heap."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return docs
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and the UTF-8 bytes of text (null: empty), with further columns; other columns are pruned."""
+    small_batches(docs)
     return docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"), *more)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import pieces, staged, table, texts
+from .common import pieces, small_batches, staged, table, texts
 
 STRIP = b" \t\n\x0b\x0c\r"
 LEAST_CHARS, LEAST_DOCS = 20, 3
@@ -258,7 +258,7 @@ def deduped(docs: DataFrame, state: LineState | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64()), *columns], ["_raw", "n_lines", "n_dropped", *rest])
 
     schema = ", ".join(["_raw binary, n_lines long, n_dropped long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)])
-    return flat.mapInArrow(run, schema).withColumn("kept_text", F.col("_raw").cast("string")).drop("_raw")
+    return small_batches(flat).mapInArrow(run, schema).withColumn("kept_text", F.col("_raw").cast("string")).drop("_raw")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
