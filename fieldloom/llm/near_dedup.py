@@ -2,17 +2,19 @@
 
 1. Every text becomes its set of word shingles; equal sets form one class,
    whose smallest doc_id stands for it from then on.
-2. Minima under 256 permutations; rows of four of the first 128 name 32
+2. Minima under 1024 permutations; rows of four of the first 128 name 32
    buckets. A pair at similarity 0.8 shares none with probability 5e-8.
 3. Two low bits of every minimum are packed in two bit planes. Matching
    positions, counted by xor and bit_count and corrected for chance
-   matches, estimate the similarity; pairs more than six standard errors
+   matches, estimate the similarity; pairs more than 5.5 standard errors
    under the limit go no further.
-4. In each bucket members are compared with its smallest member; survivors
-   are confirmed on the full sets. Buckets that then still hold several
-   components compare members across components, best estimates first,
-   until nothing is left to compare. A pair inside one component adds
-   nothing to the result, so large groups cost about one comparison a member.
+4. In each bucket members are screened against a few pivots, picked by hash
+   and so others in each bucket; each member's likeliest pairs are confirmed
+   on the full sets. Buckets that then still hold several components compare
+   members across components, each pair in the first bucket that it shares,
+   and all pairs whose estimate allows it are confirmed. A pair inside one
+   component adds nothing to the result and is left out, so a large group
+   costs a few comparisons a member.
 5. Components by smallest label, with pointer jumping.
 
 Defined results: null, empty and blank texts have an empty set, link with
@@ -34,19 +36,23 @@ from pyspark.sql import functions as F
 from . import textvec
 from .common import dropped, pieces, staged, table, texts
 
-PERMUTATIONS, BANDS, ROWS, BITS = 256, 32, 4, 2
+PERMUTATIONS, BANDS, ROWS, BITS, PIVOTS = 1024, 32, 4, 2, 2
 #: Similarity, in hundredths, from which documents are linked.
 LIMIT = 80
-#: Pairs of one anchor that one unit of verification takes.
-UNIT = 256
+#: How many of a member's pivot pairs are confirmed at once; the others wait for the comparison across components.
+STAR_PAIRS = 6
+#: Units of verification over which the pairs of one anchor are dealt.
+UNITS = 64
 _A, _B = textvec.seeds(PERMUTATIONS, 5) | np.uint64(1), textvec.seeds(PERMUTATIONS, 6)
+#: The planes of the first 128 positions, by word.
+SKETCH = [f"p{b}{k}" for k in range(2) for b in range(BITS)]
 PLANES = [f"p{b}{k}" for b in range(BITS) for k in range(PERMUTATIONS // 64)]
 
 
-def least_matches(limit: int = LIMIT) -> int:
-    """Matching positions that a pair at the limit falls short of with a chance of about 1e-9."""
+def least_matches(limit: int = LIMIT, positions: int = PERMUTATIONS) -> int:
+    """Matching positions that a pair at the limit falls short of with a chance of about 1e-7 (5.5 standard errors)."""
     p = limit / 100 + (1 - limit / 100) / 2**BITS
-    return int(PERMUTATIONS * p - 6 * np.sqrt(PERMUTATIONS * p * (1 - p)))
+    return int(positions * p - 5.5 * np.sqrt(positions * p * (1 - p)))
 
 
 def minima(items: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -117,14 +123,26 @@ def estimate(matching: Column) -> Column:
     return F.greatest(F.lit(0.0), (matching / F.lit(float(PERMUTATIONS)) - chance) / (1 - chance))
 
 
+def _may(k: int, limit: int) -> Column:
+    """Whether a bucket's row may be linked with pivot k: by set sizes, and by the first 128 positions with the same margin."""
+    own, other = F.col("n_shingles"), F.col(f"_n_shingles_{k}")
+    same, positions = F.lit(0), 64 * (len(SKETCH) // BITS)
+    for word in range(len(SKETCH) // BITS):
+        differ = F.lit(0).cast("long")
+        for c in SKETCH[BITS * word : BITS * (word + 1)]:
+            differ = differ.bitwiseOR(F.col(c).bitwiseXOR(F.col(f"_{c}_{k}")))
+        same = same + 64 - F.bit_count(differ)
+    sizes = 100 * F.least(own, other) >= limit * F.greatest(own, other)
+    return (F.col("doc_id") != F.col(f"_doc_id_{k}")) & sizes & (same >= least_matches(limit, positions))
+
+
 def confirmed(pairs: DataFrame, bodies: DataFrame, width: int, limit: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the limit; bodies: doc_id, raw.
 
-    Each anchor's text is sent once for at most about UNIT pairs, so an
-    anchor with very many pairs is shared out over many units.
+    An anchor's pairs are shared out over UNITS units, to each of which its
+    text is sent once; so an anchor with very many pairs is no hot key.
     """
-    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("units"))
-    dealt = pairs.join(degree, "a").withColumn("unit", F.pmod(F.xxhash64("b", F.lit(7)), F.col("units")).cast("int"))
+    dealt = pairs.withColumn("unit", F.pmod(F.xxhash64("b", F.lit(7)), F.lit(UNITS)).cast("int"))
     anchors = dealt.select("a", "unit").distinct().join(bodies, F.col("a") == F.col("doc_id")).select("a", "unit", F.lit(None).cast(bodies.schema["doc_id"].dataType).alias("b"), "raw")
     others = dealt.join(bodies, F.col("b") == F.col("doc_id")).select("a", "unit", "b", "raw")
     rows = anchors.unionByName(others).repartition("a", "unit").sortWithinPartitions("a", "unit", F.col("b").asc_nulls_first())
@@ -180,55 +198,53 @@ def components(edges: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, width: int = 4, limit: int = LIMIT) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
     sig, _ = staged(signatures(docs, width))
     sets = ["n_shingles", "h1", "h2"]
     named = sig.filter("n_shingles > 0 and doc_id is not null")
     classes, _ = staged(named.groupBy(*sets).agg(F.min("doc_id").alias("rep")))
-    first = F.struct("n_shingles", *PLANES)
-    reps = named.join(classes.withColumnRenamed("rep", "_rep"), sets).filter("doc_id = _rep")
-    vectors = reps.select("doc_id", first.alias("v")).groupBy("doc_id").agg(F.collect_set("v").alias("vs")).select("doc_id", F.explode("vs").alias("v"))
-    rows = reps.select(F.explode("bands").alias("bucket"), "doc_id").distinct()
-    stars = rows.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    shared, _ = staged(rows.join(stars, "bucket"))
-    vectors, _ = staged(vectors.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"))
-    bodies, _ = staged(texts(docs).join(shared.select("doc_id").distinct(), "doc_id", "left_semi"))
+    reps = classes.withColumnRenamed("rep", "doc_id")
+
+    # buckets with two members or more
+    rows = named.select("doc_id", *sets, "bands").join(reps, ["doc_id", *sets], "left_semi").select(F.posexplode("bands").alias("band", "bucket"), "doc_id")
+    several = rows.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1").select("bucket")
+    members, _ = staged(rows.join(several, "bucket", "left_semi"))
+    ids, _ = staged(members.select("doc_id").distinct())
+    vectors, _ = staged(named.join(ids, "doc_id", "left_semi").select("doc_id", F.struct("n_shingles", "bands", *PLANES).alias("v")))
+    bodies, _ = staged(texts(docs).join(ids, "doc_id", "left_semi"))
     enough = least_matches(limit)
-
-    def of(x: str) -> DataFrame:
-        return vectors.select(F.col("doc_id").alias(x), F.col("v").alias(f"v{x}"))
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes and estimate allow the limit, with the matching positions."""
-        sizes = (100 * F.least("va.n_shingles", "vb.n_shingles") >= limit * F.greatest("va.n_shingles", "vb.n_shingles"))
-        return pairs.join(of("a"), "a").join(of("b"), "b").withColumn("matching", matches("va", "vb")).filter(sizes & (F.col("matching") >= enough)).drop("va", "vb")
-
-    pairs, _ = staged(likely(shared.filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()).select("a", "b"))
-    links, _ = staged(confirmed(pairs, bodies, width, limit))
+    sizes = 100 * F.least("va.n_shingles", "vb.n_shingles") >= limit * F.greatest("va.n_shingles", "vb.n_shingles")
+
+    # each member with pivots of its buckets: the likeliest pair of each
+    sketch = ["n_shingles", *SKETCH]
+    seen = members.join(vectors.select("doc_id", *[F.col(f"v.{c}").alias(c) for c in sketch]), "doc_id")
+    pivots = [F.min_by(c, F.xxhash64("bucket", "doc_id", F.lit(k))).alias(f"_{c}_{k}") for k in range(PIVOTS) for c in ("doc_id", *sketch)]
+    near = [F.when(_may(k, limit), F.col(f"_doc_id_{k}")) for k in range(PIVOTS)]
+    starred = seen.join(seen.groupBy("bucket").agg(*pivots), "bucket").select("doc_id", F.explode(F.array_distinct(F.array_compact(F.array(*near)))).alias("a"))
+    of = lambda x: vectors.select(F.col("doc_id").alias(x), F.col("v").alias(f"v{x}"))
+    starred = starred.select("a", F.col("doc_id").alias("b")).distinct().join(of("a"), "a").join(of("b"), "b")
+    likely = starred.filter(sizes & (matches("va", "vb") >= enough)).select("a", "b", matches("va", "vb").alias("matching"))
+    turn = Window.partitionBy("b").orderBy(F.desc("matching"), "a")  # at most PIVOTS * BANDS rows
+    pairs, _ = staged(likely.withColumn("rank", F.row_number().over(turn)).filter(F.col("rank") <= STAR_PAIRS).select("a", "b").distinct())
+    links = confirmed(pairs, bodies, width, limit)
     # a doc_id in several rows is one vertex: its classes are linked through it
     again = sig.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    links = links.unionByName(named.join(again, "doc_id", "left_semi").join(classes, sets).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    tried, breadth = pairs, 8
-    while True:
-        labels = components(links)
-        all_ = shared.select("bucket", "doc_id").join(labels, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        mixed = all_.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("bucket")
-        open_ = all_.join(mixed, "bucket", "left_semi").join(vectors, "doc_id")
-        x = open_.select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("v").alias("va"))
-        y = open_.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("v").alias("vb"))
-        sizes = (100 * F.least("va.n_shingles", "vb.n_shingles") >= limit * F.greatest("va.n_shingles", "vb.n_shingles"))
-        met = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & sizes & (matches("va", "vb") >= enough))
-        fresh = met.select("a", "b", "ca", "cb", matches("va", "vb").alias("matching")).distinct().join(tried, ["a", "b"], "left_anti")
-        order = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("matching"), "a", "b")
-        # of the pairs that would join the same two components the likeliest first; more of them each round, in the end all
-        best = fresh.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= breadth).select("a", "b")
-        breadth *= 8
-        best, _ = staged(best)
-        if not best.limit(1).count():
-            break
-        more, _ = staged(confirmed(best, bodies, width, limit))
-        tried, _ = staged(tried.unionByName(best))
-        links = links.unionByName(more)
+    links, _ = staged(links.unionByName(named.join(again, "doc_id", "left_semi").join(classes, sets).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
+    labels = components(links)
+
+    # what may still join two components, each pair in the first bucket that it shares
+    all_ = members.join(labels, "doc_id", "left").select("band", "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = all_.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("bucket")
+    open_ = all_.join(mixed, "bucket", "left_semi").join(vectors, "doc_id")
+    x = open_.select("bucket", "band", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("v").alias("va"))
+    y = open_.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("v").alias("vb"))
+    first = F.array_position(F.zip_with("va.bands", "vb.bands", lambda k, m: k == m), True) == F.col("band") + 1
+    met = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & sizes & (matches("va", "vb") >= enough) & first)
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1).alias("done"))
+    left, _ = staged(met.select("a", "b", F.lit(0).alias("done")).unionByName(tried).groupBy("a", "b").agg(F.max("done").alias("done")).filter("done = 0").select("a", "b"))
+    if left.limit(1).count():
+        more, _ = staged(confirmed(left, bodies, width, limit))
+        if more.limit(1).count():
+            labels = components(links.unionByName(more))
     member = sig.join(classes, sets, "left").select("doc_id", "n_shingles", "rep")
     tops = labels.select(F.col("doc_id").alias("_doc"), "component")
     out = member.join(tops, F.col("rep") == F.col("_doc"), "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
