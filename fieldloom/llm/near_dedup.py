@@ -2,7 +2,7 @@
 
 1. Every text becomes its set of word shingles; equal sets form one class,
    whose smallest doc_id stands for it from then on.
-2. Minima under 1024 permutations; rows of four of the first 128 name 32
+2. Minima under 1536 permutations; rows of four of the first 128 name 32
    buckets. A pair at similarity 0.8 shares none with probability 5e-8.
 3. Two low bits of every minimum are packed in two bit planes. Matching
    positions, counted by xor and bit_count and corrected for chance
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import textvec
 from .common import dropped, pieces, staged, table, texts
 
-PERMUTATIONS, BANDS, ROWS, BITS, PIVOTS = 1024, 32, 4, 2, 2
+PERMUTATIONS, BANDS, ROWS, BITS, PIVOTS = 1536, 32, 4, 2, 2
 #: Similarity, in hundredths, from which documents are linked.
 LIMIT = 80
 #: How many of a member's pivot pairs are confirmed at once; the others wait for the comparison across components.
