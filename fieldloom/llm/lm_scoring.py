@@ -1,18 +1,23 @@
 """Operator 10: language-model scores by a probabilistic suffix tree over words.
 
-The root is the add-one-half unigram distribution. Deeper contexts are
-counted level by level: a word sequence of length k + 1 is counted where
-its first and its last k words both reach the support, a fixed share of
-all training tokens; so each level holds at most 1 / SUPPORT sequences.
-A context stays where its next-word distribution diverges from its longest
-kept suffix by enough (expected gain in nats, over GAIN for each symbol it
-would store). Kept distributions are smoothed by absolute discounts; the
-mass they leave goes to the shorter suffix, scaled to sum to one. A token
-is scored by the longest kept suffix of what stands before it.
-
-Counts cover all training texts. Words with at least N / 2^20 occurrences
-(2^20 of them at most) are sent to every task; all others are looked up by
-a join.
+The root is the add-one-half unigram distribution. Every sequence of two to
+DEPTH + 1 words that occurs LEAST_COUNT times in the training texts is
+counted, however large they are. A context stays where its next-word
+distribution diverges from its longest kept suffix by enough (expected gain
+in nats, over GAIN for each symbol it would store). Kept distributions are
+smoothed by absolute discounts; the mass they leave goes to the shorter
+suffix, scaled to sum to one. A token is scored by the longest kept suffix
+of what stands before it.
+
+Such a score is a sum of one number for each sequence in a text. A kept
+context adds its factor on the shorter suffix wherever it occurs; a stored
+sequence adds what its own probability has over that. So the tree is a
+staged table (key, value), and scores are joins and sums.
+
+Words, and sequences of the tree, with at least N / 2^20 occurrences (2^20
+of each length at most) are sent to every task; all others are looked up by
+a join. Bit tables of fixed size spare most sequences the shuffle: they only
+skip what can't be there, and results don't depend on them.
 
 Defined results: null and empty texts are the end token alone; rows with a
 null doc_id are training rows; a doc_id in several rows counts as often and
@@ -23,7 +28,7 @@ word is unknown; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +39,10 @@ from . import textvec
 from .common import buffers, pieces, staged, table, texts
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
-FREQUENT_BITS, SUPPORT_BITS, DEPTH = 20, 15, 3
+FREQUENT_BITS, SKETCH_BITS, DEPTH = 20, 27, 3
 LEAST_COUNT, DISCOUNT, GAIN = 3, 0.75, 6.0
+BASE, INVERSE = np.uint64(textvec.BASE), np.uint64(pow(textvec.BASE, -1, 1 << 64))
+LEVELS = textvec.seeds(DEPTH + 1, 47)
 
 
 def held_out() -> F.Column:
@@ -52,201 +59,232 @@ def stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Tree:
-    """Level k holds sequences of k + 1 words as mixed codes (id of the first k words, last word)."""
+class Model:
+    """What tasks get: frequent words, frequent sequences of the tree, and a bit table of the sequences to ask for."""
 
     words: np.ndarray  # frequent word hashes, sorted
     counts: np.ndarray  # and their counts
     n: int  # training tokens
     v: int  # distinct words in them
-    symbols: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # symbol of each frequent word, or -1
-    n_symbols: int = 0
-    codes: list[np.ndarray] = field(default_factory=list)
-    held: list[np.ndarray] = field(default_factory=list)  # counts of the sequences of each level, by id
-    first: list[np.ndarray] = field(default_factory=list)  # id, one level up, of a sequence without its last word
-    last: list[np.ndarray] = field(default_factory=list)  # symbol of its last word
-    kept: list[np.ndarray] = field(default_factory=list)  # of each level's sequences, those that are contexts
-    spill: list[np.ndarray] = field(default_factory=list)  # log10 of the factor on the shorter suffix
-    explicit: list[np.ndarray] = field(default_factory=list)  # log10 probability of the last word after the others
+    least: int  # words and sequences of fewer occurrences aren't sent
+    keys: np.ndarray  # frequent sequences of the tree, sorted
+    values: np.ndarray  # and what each adds to log10 of a text's probability
+    sketch: np.ndarray
 
     def base(self, c: np.ndarray | float) -> np.ndarray:
         return np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
-    def support(self) -> int:
-        return max(LEAST_COUNT, -(-self.n >> SUPPORT_BITS))
 
-    def code(self, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        return textvec.mix(before.astype(np.uint64) * np.uint64(self.n_symbols + 1) + symbol.astype(np.uint64) + np.uint64(1))
+def rolled(tokens: np.ndarray, starts: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all sequences of level + 1 tokens inside a text, and the places of their last tokens."""
+    n = max(0, len(tokens) - level)
+    h = tokens[:n].copy()
+    for k in range(1, level + 1):
+        h = h * BASE + tokens[k : k + n]
+    begins = np.repeat(starts[:-1], np.diff(starts))
+    good = np.flatnonzero(begins[level:] <= np.arange(n)) if level else np.arange(n)
+    return h[good], good + level
 
-    def ids(self, place: np.ndarray, starts: np.ndarray, lookups: list) -> list[np.ndarray]:
-        """For each level, the id of the sequence that ends at each token, or -1; place: of the token among words, or -1."""
-        out = [np.where(place >= 0, self.symbols[place], -1) if len(self.symbols) else np.full(len(place), -1)]
-        begins = np.zeros(len(place), bool)
-        begins[starts[:-1][starts[:-1] < len(place)]] = True
-        for lookup in lookups:
-            own = np.full(len(place), -1, np.int64)
-            at = self.open(out, begins)
-            own[at] = lookup.find(self.code(out[-1][at - 1], out[0][at]))
-            out.append(own)
-        return out
 
-    @staticmethod
-    def open(levels: list[np.ndarray], begins: np.ndarray) -> np.ndarray:
-        """Tokens at which a sequence of the next level may end: both its parts are there."""
-        top = levels[-1]
-        return np.flatnonzero((top[1:] >= 0) & (top[:-1] >= 0) & ~begins[1:]) + 1
+def keyed(h: np.ndarray, level: int) -> np.ndarray:
+    """Keys of sequences, apart for each level."""
+    return textvec.mix(h + LEVELS[level])
+
+
+def sketch(rows: DataFrame) -> np.ndarray:
+    """A bit table of the keys; at most 2^(SKETCH_BITS - 6) rows come to the driver."""
+    at, bit = f"shiftrightunsigned(key, {70 - SKETCH_BITS})", f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - SKETCH_BITS}) & 63 as int))"
+    found = rows.select(F.expr(at).alias("at"), F.expr(bit).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(1 << (SKETCH_BITS - 6), np.uint64)
+    out[found.column("at").to_numpy()] = found.column("bit").to_numpy().view(np.uint64)
+    return out
+
+
+def seen(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the keys may be in the table: always where they are."""
+    bits = len(table).bit_length() + 5
+    bit = keys >> np.uint64(64 - bits)
+    return (table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _longs(*arrays: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in arrays]
+
+
+def _unsigned(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False).view(np.uint64)
 
 
 def _counter(sent, level: int):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = sent.value if level else None
-        if level:
-            lookup, above = textvec.Lookup(tree.words), [textvec.Lookup(c) for c in tree.codes]
+        model = sent.value if level else None
+        lookup = textvec.Lookup(model.words) if level == 1 else None
         for batch in pieces(batches, "raw"):
             tokens, starts = stream(batch.column("raw"))
             if not level:
                 key, n = np.unique(tokens, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["h", "n"])
+                yield pa.RecordBatch.from_arrays(_longs(key, n), ["h", "n"])
                 continue
-            ids = tree.ids(lookup.find(tokens), starts, above)
-            begins = np.zeros(len(tokens), bool)
-            begins[starts[:-1]] = True
-            at = tree.open(ids, begins)
-            pair, n = np.unique(ids[-1][at - 1] * tree.n_symbols + ids[0][at], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["h", "n"])
+            h, at = rolled(tokens, starts, level)
+            # may: the sequence one shorter that ends here may occur often enough
+            if level == 1:
+                place = lookup.find(tokens)
+                may = np.full(len(tokens), model.least > LEAST_COUNT)
+                known = np.flatnonzero(place >= 0)
+                may[known] = model.counts[place[known]] >= LEAST_COUNT
+            else:
+                above, ends = rolled(tokens, starts, level - 1)
+                may = np.zeros(len(tokens), bool)
+                may[ends] = seen(model.sketch, keyed(above, level - 1))
+            good = np.flatnonzero(may[at - 1] & may[at])
+            h, first, n = np.unique(h[good], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays(_longs(h, tokens[at[good]][first], n), ["h", "last", "n"])
 
     return run
 
 
-def learned(docs: DataFrame) -> tuple[Tree, DataFrame]:
-    """The tree, and the table (h, n) of all training words' counts."""
+def _contexts(level: int):  # noqa: ANN202
+    """Adds the hash of a sequence without its last word, and its key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = _unsigned(batch, "h")
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("n"), *_longs((h - _unsigned(batch, "last")) * INVERSE, keyed(h, level))], ["h", "n", "context", "key"])
+
+    return run
+
+
+def _suffixes(level: int):  # noqa: ANN202
+    """Adds the hash of a sequence without its first word."""
+    power = np.uint64(pow(textvec.BASE, level, 1 << 64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("suffix", _longs(_unsigned(batch, "h") - _unsigned(batch, "first") * power)[0])
+
+    return run
+
+
+def _keys(level: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*_longs(keyed(_unsigned(batch, "h"), level)), batch.column("n"), batch.column("value")], ["key", "n", "value"])
+
+    return run
+
+
+def learned(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the table (h, n) of all training words' counts, and the tree (key, n, value) without what the model holds."""
     spark = docs.sparkSession
     train = texts(docs.filter(~held_out())).select("raw")
     counts, _ = staged(train.mapInArrow(_counter(None, 0), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     total = counts.agg(F.count("*"), F.sum("n")).first()
     v, n = total[0], total[1] or 0
+    least = -(-n >> FREQUENT_BITS)
     # at most 2^FREQUENT_BITS rows, since each has that share of all tokens
-    top = counts.filter(F.col("n") >= -(-n >> FREQUENT_BITS)).toArrow()
+    top = counts.filter(F.col("n") >= least).toArrow()
     words, own = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(words)
-    tree = Tree(words[order], own[order], n, v)
-    enough = tree.counts >= tree.support()
-    tree.n_symbols = int(enough.sum())
-    tree.symbols = np.where(enough, np.cumsum(enough) - 1, -1)
-    tree.held.append(tree.counts[enough])
+    none = np.zeros(0, np.uint64)
+    model = Model(words[order], own[order], n, v, least, none, np.zeros(0), none)
+    tree, _ = staged(grown(train, counts, model))
+    often = tree.filter(F.col("n") >= least).toArrow()  # at most 2^FREQUENT_BITS rows of each length
+    keys = often.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    model.keys, model.values = keys[order], often.column("value").to_numpy()[order]
+    seldom = tree.filter(F.col("n") < least)
+    model.sketch = sketch(seldom)
+    return model, counts, seldom
+
+
+def grown(train: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+    """The tree: (key, n, value) of every kept context and every sequence that one stores."""
+    spark = train.sparkSession
+    size = F.lit(float(model.n + 0.5 * (model.v + 1)))
+    # sequences of the level above: their first word, and log10 of their last word's probability by the longest kept suffix of the others
+    above = counts.filter(F.col("n") >= LEAST_COUNT).select("h", "n", F.col("h").alias("first"), F.log10((F.col("n") + 0.5) / size).alias("own"))
+    entries = []
     for level in range(1, DEPTH + 1):
-        sent = spark.sparkContext.broadcast(tree)
-        rows = train.mapInArrow(_counter(sent, level), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        found = rows.filter(F.col("n") >= tree.support()).toArrow()  # at most 1 / SUPPORT rows
+        sent = spark.sparkContext.broadcast(model)
+        rows = train.mapInArrow(_counter(sent, level), "h long, last long, n long").groupBy("h").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+        held, _ = staged(rows.filter(F.col("n") >= LEAST_COUNT).mapInArrow(_contexts(level), "h long, n long, context long, key long"))
         sent.unpersist()
-        if not found.num_rows:
-            break
-        pair, many = found.column("h").to_numpy(), found.column("n").to_numpy()
-        before, symbol = pair // tree.n_symbols, pair % tree.n_symbols
-        code = tree.code(before, symbol)
-        order = np.argsort(code)
-        tree.codes.append(code[order])
-        tree.held.append(many[order])
-        tree.first.append(before[order])
-        tree.last.append(symbol[order])
-    grow(tree)
-    return tree, counts
-
-
-def grow(tree: Tree) -> None:
-    """Choose the contexts that stay, and their smoothed distributions."""
-    base = tree.base(tree.held[0].astype(float)) if tree.held else np.zeros(0)
-    shorter = [np.full(tree.n_symbols, -1, np.int64)]  # a sequence without its first word, one level up
-    for k in range(1, len(tree.codes) + 1):
-        before, symbol = tree.first[k - 1], tree.last[k - 1]
-        if k == 1:
-            shorter.append(symbol)
-        else:
-            shorter.append(textvec.Lookup(tree.codes[k - 2]).find(tree.code(shorter[k - 1][before], symbol)))
-    # probability of each level's sequence's last word by the longest kept suffix of the words before, without its first
-    for k in range(1, len(tree.codes) + 1):
-        context, symbol = tree.first[k - 1], tree.last[k - 1]
-        n = len(tree.held[k - 1])
-        q = base[symbol].copy()
-        suffix = shorter[k - 1][context] if k > 1 else None
-        if k > 1:
-            q = _after(tree, k - 1, suffix, symbol, shorter, base)
-        p = np.log10((tree.held[k] - DISCOUNT) / tree.held[k - 1][context])
-        sum_p = np.bincount(context, 10**p, minlength=n)
-        sum_q = np.minimum(np.bincount(context, 10**q, minlength=n), 1 - 1e-12)
-        rest = np.maximum(1 - sum_p, 1e-12)
-        spill = np.log10(rest) - np.log10(1 - sum_q)
-        stored = np.bincount(context, minlength=n)
-        gain = tree.held[k - 1] * np.log(10) * (np.bincount(context, 10**p * (p - q), minlength=n) + rest * spill)
-        tree.kept.append((stored > 0) & (gain > GAIN * (stored + 1)))
-        tree.spill.append(spill)
-        tree.explicit.append(p)
-
-
-def _after(tree: Tree, k: int, context: np.ndarray, symbol: np.ndarray, shorter: list, base: np.ndarray) -> np.ndarray:
-    """log10 probability of symbols after contexts of k words, by the longest kept suffix."""
-    if k == 0:
-        return base[symbol].copy()
-    under = _after(tree, k - 1, shorter[k - 1][context] if k > 1 else context, symbol, shorter, base)
-    own = textvec.Lookup(tree.codes[k - 1]).find(tree.code(context, symbol))
-    there = np.where(own >= 0, tree.explicit[k - 1][own], tree.spill[k - 1][context] + under)
-    return np.where(tree.kept[k - 1][context], there, under)
-
-
-def gains(tree: Tree, ids: list[np.ndarray], starts: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """For each token, log10 of its probability over the root's; base: the root's log10 probabilities of known tokens."""
-    out = np.zeros(len(ids[0]))
-    inside = np.ones(len(out), bool)
-    inside[starts[:-1]] = False
-    for k in range(1, len(tree.codes) + 1):
-        context = np.full(len(out), -1, np.int64)
-        context[1:] = ids[k - 1][:-1]
-        at = np.flatnonzero((context >= 0) & inside)
-        at = at[tree.kept[k - 1][context[at]]]
-        own = ids[k][at]
-        out[at] = np.where(own >= 0, tree.explicit[k - 1][own] - base[at], tree.spill[k - 1][context[at]] + out[at])
-    return out
+        if level < DEPTH:
+            model.sketch = sketch(held)
+        rows = held.drop("key").join(above.select(F.col("h").alias("context"), F.col("n").alias("n_context"), "first"), "context")
+        rows = rows.mapInArrow(_suffixes(level), "context long, h long, n long, n_context long, first long, suffix long")
+        p, q = F.log10((F.col("n") - DISCOUNT) / F.col("n_context")), F.col("own")
+        rows = rows.join(above.select(F.col("h").alias("suffix"), "own"), "suffix").select("h", "n", "context", "n_context", "first", p.alias("p"), q.alias("q"))
+        rows, _ = staged(rows)
+        p, q, ten = F.col("p"), F.col("q"), F.lit(10.0)
+        sums = rows.groupBy("context").agg(
+            F.max("n_context").alias("n"), F.count("*").alias("stored"), F.sum(F.pow(ten, p)).alias("p"), F.sum(F.pow(ten, q)).alias("q"), F.sum(F.pow(ten, p) * (p - q)).alias("over")
+        )
+        rest, other = F.greatest(1 - F.col("p"), F.lit(1e-12)), 1 - F.least(F.col("q"), F.lit(1 - 1e-12))
+        sums = sums.select("context", "n", "stored", "over", rest.alias("rest"), (F.log10(rest) - F.log10(other)).alias("spill"))
+        gain = F.col("n") * float(np.log(10)) * (F.col("over") + F.col("rest") * F.col("spill"))
+        kept, _ = staged(sums.filter(gain > GAIN * (F.col("stored") + 1)).select("context", "n", "spill"))
+        rows = rows.join(kept.select("context", "spill"), "context", "left")
+        above, _ = staged(rows.select("h", "n", "first", F.when(F.col("spill").isNotNull(), p).otherwise(q).alias("own"), (p - q - F.col("spill")).alias("value")))
+        for k, part in ((level - 1, kept.select(F.col("context").alias("h"), "n", F.col("spill").alias("value"))), (level, above.filter("value is not null").select("h", "n", "value"))):
+            entries.append(part.mapInArrow(_keys(k), "key long, n long, value double"))
+    out = entries[0]
+    for part in entries[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"))
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
-    tree, counts = learned(docs)
-    sent = spark.sparkContext.broadcast(tree)
+    model, counts, tree = learned(docs)
+    sent = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         own, row = sent.value, TaskContext.get().partitionId() << 33
-        lookup, above = textvec.Lookup(own.words), [textvec.Lookup(c) for c in own.codes]
+        lookup, frequent = textvec.Lookup(own.words), textvec.Lookup(own.keys)
         log = own.base(own.counts.astype(float))
         for batch in pieces(batches, "raw"):
             tokens, starts = stream(batch.column("raw"))
             place = lookup.find(tokens)
             base = np.where(place >= 0, log[place], 0.0) if len(log) else np.zeros(len(place))
-            gain = gains(own, own.ids(place, starts, above), starts, base)
+            gain, asked, ends = np.zeros(len(tokens)), [], []
+            for level in range(DEPTH + 1):
+                h, at = rolled(tokens, starts, level)
+                key = keyed(h, level)
+                there = frequent.find(key)
+                hit = np.flatnonzero(there >= 0)
+                gain[at[hit]] += own.values[there[hit]]
+                ask = np.flatnonzero((there < 0) & seen(own.sketch, key))
+                asked.append(key[ask])
+                ends.append(at[ask])
+            ends = np.concatenate(ends)
+            order = np.argsort(ends, kind="stable")
+            asked, ends = np.concatenate(asked)[order], ends[order]
             sums = [np.add.reduceat(x, starts[:-1]) for x in (base, gain, (place >= 0).astype(np.int64))]
             rare = np.flatnonzero(place < 0)
-            begins = np.searchsorted(rare, starts).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(np.searchsorted(x, starts).astype(np.int32)), _longs(y)[0]) for x, y in ((rare, tokens[rare]), (ends, asked))]
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + n)), batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(starts)), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]),
-                 pa.ListArray.from_arrays(pa.array(begins), pa.array(tokens[rare].view(np.int64)))],
-                ["row", "doc_id", "held_out", "n_tokens", "known", "base", "gain", "rare"],
+                [pa.array(np.arange(row, row + n)), batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(starts)), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]), *lists],
+                ["row", "doc_id", "held_out", "n_tokens", "known", "base", "gain", "rare", "asked"],
             )
             row += n
 
-    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, gain double, rare array<long>"
+    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, gain double, rare array<long>, asked array<long>"
     rows, _ = staged(texts(docs.select("doc_id", "text", held_out().alias("held_out")), "held_out").mapInArrow(run, schema))
-    seldom = counts.filter(F.col("n") < -(-tree.n >> FREQUENT_BITS))
+    seldom = counts.filter(F.col("n") < model.least)
     asked = rows.select("row", F.explode("rare").alias("h"))
-    size = tree.n + 0.5 * (tree.v + 1)
+    size = model.n + 0.5 * (model.v + 1)
     c = F.coalesce("n", F.lit(0))
     joined = asked.join(seldom, "h", "left").groupBy("row").agg(F.sum(F.log10((c + 0.5) / F.lit(size))).alias("more"), F.sum((c > 0).cast("long")).alias("more_known"))
-    out = rows.drop("rare").join(joined, "row", "left")
+    added = rows.select("row", F.explode("asked").alias("key")).join(tree, "key").groupBy("row").agg(F.sum("value").alias("added"))
+    out = rows.drop("rare", "asked").join(joined, "row", "left").join(added, "row", "left")
     base = F.col("base") + F.coalesce("more", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(tree.n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") + F.coalesce("added", F.lit(0.0))).alias("score"))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,3 +262,24 @@ def test_scores_equal_a_plain_tree(spark):
         expected = sum(math.log10(probability(tuple(own[max(0, k - lm_scoring.DEPTH) : k]), w)) for k, w in enumerate(own))
         assert got[d][1] == pytest.approx(expected, abs=1e-6)
     assert sum(s for _, s in got.values()) > sum(b for b, _ in got.values())
+
+
+@pytest.mark.parametrize("bits", [(20, 27), (6, 8)])
+def test_a_phrase_stays_however_large_the_corpus(spark, monkeypatch, bits):
+    """Five occurrences in 200,000 tokens are stored; also where most of the tree is joined and the bit table is full."""
+    rng = random.Random(4)
+    phrase = "nine quiet lamps burn beside our river"
+    ids = [k for k in range(1200) if not brute.unigram([(k, "")])[0][1]][:500]
+    texts = [" ".join(f"w{int(600 * rng.random() ** 2)}" for _ in range(400)) for _ in ids]
+    texts[::100] = [f"{x} {phrase} {x[:50]}" for x in texts[::100]]
+    rows = list(zip(ids, texts, strict=True))
+    monkeypatch.setattr(lm_scoring, "FREQUENT_BITS", bits[0])
+    monkeypatch.setattr(lm_scoring, "SKETCH_BITS", bits[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept, probability = plain_tree(rows, lm_scoring.LEAST_COUNT, lm_scoring.DEPTH)
+    assert ("nine", "quiet", "lamps") in kept or ("lamps",) in kept
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.scored(docs).collect()}
+    for d, t in rows[::20]:
+        own = [*brute.words(t), None]
+        expected = sum(math.log10(probability(tuple(own[max(0, k - lm_scoring.DEPTH) : k]), w)) for k, w in enumerate(own))
+        assert got[d] == pytest.approx(expected, abs=1e-6)
