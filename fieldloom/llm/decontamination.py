@@ -12,9 +12,8 @@ The benchmark is sent to tasks in blocks of at most BLOCK_WORDS words; a
 larger one takes more passes over the documents, never more memory.
 
 Defined results: null and empty texts and items match nothing, as do items
-of fewer than LEAST_WORDS words; a doc_id in several rows is one document
-and gets the matches of all of them in each row (null ids likewise);
-repeated items are each reported; other columns are ignored; an empty
+of fewer than LEAST_WORDS words; each row is a document of its own, also
+where its doc_id is null or in several rows; repeated items are each reported; other columns are ignored; an empty
 benchmark finds nothing, an empty table gives an empty result.
 """
 
@@ -26,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec
-from .common import buffers, pieces, staged, table, texts
+from .common import buffers, dropped, pieces, small_batches, staged, table
 
 #: 1: hashed, 0: ignored. The first has no gap, so that short items are found too.
 MASKS = ("11111", "111011", "1101101", "11010011")
@@ -99,33 +99,42 @@ class Seeds:
         return [(d, i, m) for (d, i), m in best.items()]
 
 
-def matched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_words): the items found in each document."""
+def matched(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs, with _found: each row's own (item_id, n_words)."""
     spark = docs.sparkSession
     items, _ = staged(benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"), (F.length(F.coalesce("text", F.lit(""))) / 2 + 1).alias("most")))
     blocks = max(1, int(-(-(items.agg(F.sum("most")).first()[0] or 0) // BLOCK_WORDS)))
-    kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    item_kind = benchmark.schema["item_id"].dataType
+
+    def finder(sent, names: list[str]):  # noqa: ANN001, ANN202
+        kind = pa.struct([("item_id", item_type(item_kind.simpleString())), ("n_words", pa.int64())])
 
-    def finder(sent):  # noqa: ANN001, ANN202
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seeds = sent.value
-            for batch in pieces(batches, "raw"):
-                found = seeds.matches(*textvec.words(*buffers(batch.column("raw")), punctuation=False))
-                ids = batch.column("doc_id")
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array([d for d, _, _ in found], pa.int64())), pa.array([seeds.items[i] for _, i, _ in found], item_type(item_kind)), pa.array([m for _, _, m in found], pa.int64())],
-                    ["doc_id", "item_id", "n_words"],
-                )
+            for batch in pieces(batches, "text"):
+                found = [[] for _ in range(batch.num_rows)]
+                for d, i, m in seeds.matches(*textvec.words(*buffers(batch.column("text")), punctuation=False)):
+                    found[d].append({"item_id": seeds.items[i], "n_words": m})
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.list_(kind))], [*names, "_new"])
 
         return run
 
-    out = None
+    new = T.StructField("_new", T.ArrayType(T.StructType([T.StructField("item_id", item_kind), T.StructField("n_words", T.LongType())])))
+    rows, before = small_batches(docs), None
     for block in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).select("item_id", "text").collect()
-        sent = spark.sparkContext.broadcast(Seeds([r[0] for r in rows], [r[1].encode() for r in rows]))
-        found = texts(docs).mapInArrow(finder(sent), f"doc_id {kind}, item_id {item_kind}, n_words long")
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))
+        own = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).select("item_id", "text").collect()
+        sent = spark.sparkContext.broadcast(Seeds([r[0] for r in own], [r[1].encode() for r in own]))
+        last = block + 1 == blocks
+        names = [c for c in rows.columns if not last or c in keep or c == "_found"]
+        rows = rows.mapInArrow(finder(sent, names), T.StructType([*(rows.schema[c] for c in names), new]))
+        rows = rows.withColumn("_found", F.concat("_found", "_new") if block else F.col("_new")).drop("_new")
+        if not last:  # rows go on to the next block with what they have, so that no more than one block is held
+            rows, path = staged(rows)
+            if before:
+                dropped(spark, before)
+            sent.unpersist()
+            before = path
+    return rows
 
 
 def item_type(kind: str) -> pa.DataType:
@@ -134,19 +143,17 @@ def item_type(kind: str) -> pa.DataType:
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Each row's doc_id with contaminated, the items found (sorted), their number and the longest agreement."""
-    found = matched(docs, benchmark).groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("n_words").alias("most_words"))
-    joined = docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("items").isNotNull(), "left")
-    none = F.array().cast(f"array<{benchmark.schema['item_id'].dataType.simpleString()}>")
-    return joined.select(
-        "doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("items", none).alias("items"), F.coalesce("most_words", F.lit(0)).cast("long").alias("most_words"),
+    items = F.sort_array(F.array_distinct(F.array_compact("_found.item_id")))
+    rows = matched(docs.select("doc_id", "text"), benchmark, ["doc_id"]).withColumn("items", items)
+    return rows.select(
+        "doc_id", (F.size("_found") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"),
+        "items", F.coalesce(F.array_max("_found.n_words"), F.lit(0)).cast("long").alias("most_words"),
     )
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that hold no benchmark item; same columns."""
-    dirty = matched(docs, benchmark).select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["_dirty"]), "left_anti")
+    return matched(docs, benchmark, docs.columns).filter(F.size("_found") == 0).drop("_found")
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,6 +175,17 @@ def test_blocks_of_the_benchmark_find_the_same(spark, monkeypatch):
     assert rows() == whole
 
 
+@pytest.mark.parametrize("most", [decontamination.BLOCK_WORDS, 20])
+def test_rows_of_one_id_keep_their_own_verdicts(spark, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", most)
+    items = spark.createDataFrame([(1, PASSAGE), (2, PASSAGE.upper() + " and more"), (3, "other words that none holds")], "item_id long, text string")
+    docs = spark.createDataFrame([(None, PASSAGE, 1), (None, "clean", 2), (None, None, 3), (7, "clean too", 4), (7, PASSAGE, 5)], "doc_id long, text string, x int")
+    got = decontamination.contamination(docs, items).collect()
+    assert sorted((r["doc_id"] or 0, r["contaminated"], *r["items"]) for r in got) == [(0, False), (0, False), (0, True, 1, 2), (7, False), (7, True, 1, 2)]
+    kept = decontamination.cleaned(docs, items)
+    assert kept.columns == docs.columns and sorted(r["x"] for r in kept.collect()) == [2, 3, 4]
+
+
 # secrets
 
 
