@@ -32,13 +32,15 @@ from .common import buffers, dropped, pieces, small_batches, staged, table
 
 #: 1: hashed, 0: ignored. The first has no gap, so that short items are found too.
 MASKS = ("11111", "111011", "1101101", "11010011")
+#: For items of at most SHORT words also: these find 4 of 5 and 5 of 6 words, whichever is changed.
+SHORT_MASKS, SHORT = ("1111", "10111", "11011", "11101"), 6
 SPAN, SHARE, LEAST_WORDS = 13, 0.8, 5
 BLOCK_WORDS = 2_000_000
 
 
 def seed_hashes(words: np.ndarray, starts: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows inside a document, and the places where they begin."""
-    keys, n = textvec.seeds(len(mask), 31 + MASKS.index(mask)), len(words) - len(mask) + 1
+    keys, n = textvec.seeds(len(mask), 31 + (MASKS + SHORT_MASKS).index(mask)), len(words) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     total = np.zeros(n, np.uint64)
@@ -58,9 +60,10 @@ class Seeds:
         self.items = items
         owner = textvec.owners(self.starts)
         self.masks = []
-        for mask in MASKS:
+        for mask in MASKS + SHORT_MASKS:
             h, at = seed_hashes(self.words, self.starts, mask)
-            good = np.diff(self.starts)[owner[at]] >= LEAST_WORDS
+            size = np.diff(self.starts)[owner[at]]
+            good = (size >= LEAST_WORDS) & ((size <= SHORT) | (mask in MASKS))
             h, at = h[good], at[good]
             order = np.argsort(h, kind="stable")
             keys, first = np.unique(h[order], return_index=True)
@@ -70,7 +73,9 @@ class Seeds:
     def matches(self, words: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
         """(document, item, agreeing words of its best stretch), each pair once."""
         owner, found = textvec.owners(starts), []
-        for mask, (lookup, first, places) in zip(MASKS, self.masks, strict=True):
+        for mask, (lookup, first, places) in zip(MASKS + SHORT_MASKS, self.masks, strict=True):
+            if not len(lookup.keys):
+                continue
             h, at = seed_hashes(words, starts, mask)
             key = lookup.find(h)
             hit = np.flatnonzero(key >= 0)

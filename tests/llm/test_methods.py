@@ -186,6 +186,22 @@ def test_rows_of_one_id_keep_their_own_verdicts(spark, monkeypatch, most):
     assert kept.columns == docs.columns and sorted(r["x"] for r in kept.collect()) == [2, 3, 4]
 
 
+@pytest.mark.parametrize("size", range(5, 14))
+def test_every_allowed_substitution_is_found(size):
+    """Also in items of 5 and 6 words."""
+    from fieldloom.llm.common import buffers
+    import pyarrow as pa
+
+    own = [f"w{k}" for k in range(size)]
+    seeds = decontamination.Seeds([1], [" ".join(own).encode()])
+    most = size - math.ceil(decontamination.SHARE * size)
+    for n in range(most + 2):
+        for changed in itertools.combinations(range(size), n):
+            text = " ".join(["before", *("z" if k in changed else w for k, w in enumerate(own)), "after"])
+            found = seeds.matches(*textvec.words(*buffers(pa.array([text])), punctuation=False))
+            assert found == ([(0, 0, size - n)] if n <= most else [])
+
+
 # secrets
 
 
