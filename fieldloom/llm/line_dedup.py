@@ -141,11 +141,11 @@ def shard(n: int) -> F.Column:
     return F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("shard")
 
 
-def filters_of(keys: DataFrame, n_shards: int) -> DataFrame:
-    """(shard, n_keys, slots) of a table of distinct keys; a shard holds about SHARD_KEYS at most."""
+def filters_of(keys: DataFrame, n_shards: int, room: int = 1) -> DataFrame:
+    """(shard, n_keys, slots) of a table of distinct keys, with room for so many times as many."""
 
     def build(rows: pa.Table) -> pa.Table:
-        made = CuckooFilter.of(_pairs(rows.column("key").to_pylist()), SHARD_KEYS // 8)
+        made = CuckooFilter.of(_pairs(rows.column("key").to_pylist()), max(room * rows.num_rows, SHARD_KEYS // 8))
         return pa.table({"shard": pa.array([rows.column("shard")[0].as_py()], pa.int32()), "n_keys": pa.array([rows.num_rows], pa.int64()), "slots": pa.array([made.slots.tobytes()], pa.binary())})
 
     return keys.select(shard(n_shards), "key").groupBy("shard").applyInArrow(build, "shard int, n_keys long, slots binary")
@@ -153,7 +153,7 @@ def filters_of(keys: DataFrame, n_shards: int) -> DataFrame:
 
 @dataclass
 class LineState:
-    """Tables of the incremental state; n_shards is fixed when it is made."""
+    """Tables of the incremental state; a shard that is full gets a larger filter, and where all are, there are more shards."""
 
     postings: DataFrame
     counts: DataFrame
@@ -174,6 +174,10 @@ class LineState:
         rows, _ = staged(rows.select("key", "doc_id"))
         new = counted(rows.join(touched, "key", "left_semi")).filter(F.col("n_docs") >= self.least)
         counts, _ = staged(self.counts.join(touched, "key", "left_anti").unionByName(new).select("key", "n_docs", "last_doc"))
+        n = -(-counts.count() // SHARD_KEYS)
+        if n > 2 * self.n_shards:
+            made, _ = staged(filters_of(counts, n))
+            return LineState(rows, counts, made, n, self.least)
         old, now = self.counts.select("key"), counts.select("key")
         change = now.join(old, "key", "left_anti").select("key", F.lit(True).alias("add")).unionByName(old.join(now, "key", "left_anti").select("key", F.lit(False).alias("add")))
 
@@ -185,12 +189,15 @@ class LineState:
             total = n + int(add.sum()) - int((~add).sum())
             made = CuckooFilter(1, np.frombuffer(held.column("slots")[0].as_py(), np.uint16)) if n else CuckooFilter(max(total, SHARD_KEYS // 8))
             made.remove(keys[~add])
-            if not made.add(keys[add]):
-                raise MemoryError(f"shard {at} is full: make the state anew with more shards")
-            return pa.table({"shard": pa.array([at], pa.int32()), "n_keys": pa.array([total], pa.int64()), "slots": pa.array([made.slots.tobytes()], pa.binary())})
+            slots = made.slots.tobytes() if made.add(keys[add]) else None
+            return pa.table({"shard": pa.array([at], pa.int32()), "n_keys": pa.array([total], pa.int64()), "slots": pa.array([slots], pa.binary())})
 
         schema = "shard int, n_keys long, slots binary"
         made, _ = staged(self.filters.groupBy("shard").cogroup(change.select(shard(self.n_shards), "key", "add").groupBy("shard")).applyInArrow(update, schema))
+        full = made.filter("slots is null").select("shard")
+        if not full.isEmpty():
+            own = counts.withColumn("shard", shard(self.n_shards)).join(full, "shard", "left_semi")
+            made, _ = staged(made.filter("slots is not null").unionByName(filters_of(own, self.n_shards, 2)))
         return LineState(rows, counts, made, self.n_shards, self.least)
 
     def insert(self, docs: DataFrame) -> LineState:

@@ -102,6 +102,21 @@ def test_insertion_and_deletion_undo_each_other(spark):
     assert sum(int((f.slots > 0).sum()) for f in held.values()) == len(keys(back))
 
 
+@pytest.mark.parametrize("shard_keys", [line_dedup.SHARD_KEYS, 6000])
+def test_insertions_go_on_when_a_shard_is_full(spark, monkeypatch, shard_keys):
+    """With a larger filter, or with more shards."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", shard_keys)
+    lines = "\n".join(f"line number {k} is long enough to count" for k in range(20000))
+    state = line_dedup.LineState.of(frame(spark, ["this one line is long enough to count"] * 3))
+    after = state.insert(spark.createDataFrame([(k, lines) for k in (10, 11, 12)], "doc_id long, text string"))
+    assert after.n_shards == (1 if shard_keys > 20000 else 4)
+    held = {r["shard"]: (r["n_keys"], line_dedup.CuckooFilter(1, np.frombuffer(r["slots"], np.uint16))) for r in after.filters.collect()}
+    assert sum(n for n, _ in held.values()) == after.counts.count() == 20001
+    keys = after.counts.select(line_dedup.shard(after.n_shards), "key").collect()
+    assert all(held[k][1].contains(line_dedup._pairs([bytes(r["key"]) for r in keys if r["shard"] == k])).all() for k in held)
+    assert {r["doc_id"]: len(r["keys"]) for r in after.dropped().collect()} == {0: 1, 1: 1, 10: 20000, 11: 20000}
+
+
 # near-duplicates
 
 
