@@ -33,8 +33,8 @@ from .common import pieces, small_batches, staged, table, texts
 STRIP = b" \t\n\x0b\x0c\r"
 LEAST_CHARS, LEAST_DOCS = 20, 3
 SHARD_KEYS = 1 << 16
-#: Filters of more bytes than this aren't broadcast; postings then join the counts unscreened.
-FILTER_BYTES = 64 << 20
+#: Filters of more bytes than this aren't broadcast; each shard's postings are then sent to its filter, so many at a time.
+FILTER_BYTES, GROUP_ROWS = 64 << 20, 1 << 18
 SLOTS = 4
 
 
@@ -214,8 +214,10 @@ class LineState:
     def screened(self) -> DataFrame:
         """Postings that pass the filters: all of a repeated key's, and few others."""
         size = self.filters.agg(F.sum(F.length("slots"))).first()[0] or 0
-        if not size or size > FILTER_BYTES:
-            return self.postings
+        if not size:
+            return self.postings.limit(0)
+        if size > FILTER_BYTES:
+            return self._screened_by_shard()
         held = {r["shard"]: r["slots"] for r in self.filters.collect()}
         sent = self.postings.sparkSession.sparkContext.broadcast(held)
         kind = self.postings.schema["doc_id"].dataType.simpleString()
@@ -233,6 +235,23 @@ class LineState:
 
         return self.postings.select("key", "doc_id", shard(self.n_shards)).mapInArrow(run, f"key binary, doc_id {kind}")
 
+    def _screened_by_shard(self) -> DataFrame:
+        """As screened, with each filter sent to the postings of its shard; large shards are dealt by document too."""
+
+        def run(rows: pa.Table, held: pa.Table) -> pa.Table:
+            if not held.num_rows or not rows.num_rows:
+                return rows.select(["key", "doc_id"]).slice(0, 0)
+            made = CuckooFilter(1, np.frombuffer(held.column("slots")[0].as_py(), np.uint16))
+            return rows.select(["key", "doc_id"]).filter(pa.array(made.contains(_pairs(rows.column("key").to_pylist()))))
+
+        rows = self.postings.select("key", "doc_id", shard(self.n_shards))
+        deals, _ = staged(rows.groupBy("shard").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("long").alias("deals")))
+        deals = F.broadcast(deals)
+        rows = rows.join(deals, "shard").select("key", "doc_id", "shard", F.pmod(F.xxhash64("doc_id"), "deals").alias("deal"))
+        held = self.filters.join(deals, "shard").select("shard", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"))
+        kind = self.postings.schema["doc_id"].dataType.simpleString()
+        return rows.groupBy("shard", "deal").cogroup(held.groupBy("shard", "deal")).applyInArrow(run, f"key binary, doc_id {kind}")
+
     def dropped(self) -> DataFrame:
         """(doc_id, keys): the keys whose lines each document loses."""
         hit = self.screened().join(self.counts, "key").filter(F.col("doc_id") != F.col("last_doc"))

@@ -117,6 +117,18 @@ def test_insertions_go_on_when_a_shard_is_full(spark, monkeypatch, shard_keys):
     assert {r["doc_id"]: len(r["keys"]) for r in after.dropped().collect()} == {0: 1, 1: 1, 10: 20000, 11: 20000}
 
 
+@pytest.mark.parametrize("rows", [line_dedup.GROUP_ROWS, 5])
+def test_filters_screen_at_every_size(spark, monkeypatch, rows):
+    texts = [f"a line that stands in all of them\nand a line that is only in document {k}" for k in range(40)]
+    state = line_dedup.LineState.of(frame(spark, texts))
+    found = lambda: sorted((bytes(r["key"]), r["doc_id"]) for r in state.screened().collect())
+    small = found()
+    monkeypatch.setattr(line_dedup, "FILTER_BYTES", 1)
+    monkeypatch.setattr(line_dedup, "GROUP_ROWS", rows)
+    assert found() == small and len(small) < state.postings.count()
+    assert state.dropped().count() == 39
+
+
 # near-duplicates
 
 
