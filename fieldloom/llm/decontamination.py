@@ -8,13 +8,18 @@ diagonal (a document place for each item place), on which the overlap is
 verified word by word: an item is in a document if some stretch of
 min(item's words, SPAN) words agrees in at least SHARE of them.
 
-The benchmark is sent to tasks in blocks of at most BLOCK_WORDS words; a
-larger one takes more passes over the documents, never more memory.
+The benchmark is sent to tasks in blocks of about BLOCK_WORDS words; a
+larger one takes more passes over the documents, never more memory. Hits
+are expanded in slices, and where many items share a seed (a question's
+stem), all of them are verified together, one comparison for each word.
 
 Defined results: null and empty texts and items match nothing, as do items
 of fewer than LEAST_WORDS words; each row is a document of its own, also
-where its doc_id is null or in several rows; repeated items are each reported; other columns are ignored; an empty
-benchmark finds nothing, an empty table gives an empty result.
+where its doc_id is null or in several rows; items with one text and
+several ids are each reported, equal rows once, and item_id may be of any
+type that can be compared; other columns are ignored; an empty benchmark
+finds nothing, an empty table gives an empty result. Words are compared by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textvec
 from .common import buffers, dropped, pieces, small_batches, staged, table
@@ -36,6 +42,10 @@ MASKS = ("11111", "111011", "1101101", "11010011")
 SHORT_MASKS, SHORT = ("1111", "10111", "11011", "11101"), 6
 SPAN, SHARE, LEAST_WORDS = 13, 0.8, 5
 BLOCK_WORDS = 2_000_000
+#: Seeds that so many items hold are verified for all of them together; hits and words of one slice of the others.
+BUNDLE, BUNDLE_ROWS, SLICE = 32, 1 << 16, 1 << 20
+#: Bundles are forgotten, and made again where they are hit, beyond so many words.
+BUNDLE_WORDS = 8_000_000
 
 
 def seed_hashes(words: np.ndarray, starts: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -57,62 +67,164 @@ class Seeds:
 
     def __init__(self, items: list, raws: list[bytes]):
         self.words, self.starts = textvec.words(*buffers(pa.array(raws, pa.large_binary())), punctuation=False)
-        self.items = items
+        self.items, self.sizes = items, np.diff(self.starts)
         owner = textvec.owners(self.starts)
         self.masks = []
         for mask in MASKS + SHORT_MASKS:
             h, at = seed_hashes(self.words, self.starts, mask)
-            size = np.diff(self.starts)[owner[at]]
+            size = self.sizes[owner[at]]
             good = (size >= LEAST_WORDS) & ((size <= SHORT) | (mask in MASKS))
             h, at = h[good], at[good]
             order = np.argsort(h, kind="stable")
             keys, first = np.unique(h[order], return_index=True)
             self.masks.append((textvec.Lookup(keys), np.append(first, len(order)), at[order]))
         self.owner = owner
+        self._forget()
+
+    def _forget(self) -> None:
+        self.bundles: dict[bytes, int] = {}
+        self.members: list[list[tuple[np.ndarray, np.ndarray]]] = []
+        self.lists: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self.held = 0
+
+    def _bundles(self, mask: int, key: int) -> list[tuple[int, int]]:
+        """(bundle, place in the items) of a seed that many items hold; items that hold several seeds at fixed distances are one bundle."""
+        if (mask, key) not in self.lists:
+            _, first, places = self.masks[mask]
+            q = places[first[key] : first[key + 1]]
+            item = self.owner[q]
+            place = q - self.starts[item]
+            out = []
+            for x in np.unique(place).tolist():
+                own = np.sort(item[place == x])
+                name = own.tobytes()
+                if name not in self.bundles:
+                    self.bundles[name] = len(self.members)
+                    sizes = self.sizes[own]
+                    parts = []
+                    for n in np.unique(sizes).tolist():
+                        same = own[sizes == n]
+                        for k in range(0, len(same), BUNDLE_ROWS):
+                            part = same[k : k + BUNDLE_ROWS]
+                            parts.append((part, np.ascontiguousarray(self.words[self.starts[part][None, :] + np.arange(n)[:, None]])))
+                    self.members.append(parts)
+                    self.held += int(sizes.sum())
+                out.append((self.bundles[name], x))
+            self.lists[mask, key] = out
+        return self.lists[mask, key]
 
     def matches(self, words: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
         """(document, item, agreeing words of its best stretch), each pair once."""
-        owner, found = textvec.owners(starts), []
-        for mask, (lookup, first, places) in zip(MASKS + SHORT_MASKS, self.masks, strict=True):
-            if not len(lookup.keys):
-                continue
-            h, at = seed_hashes(words, starts, mask)
-            key = lookup.find(h)
-            hit = np.flatnonzero(key >= 0)
-            if not len(hit):
-                continue
-            key, at = key[hit], at[hit]
-            many = first[key + 1] - first[key]
-            inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            q = places[np.repeat(first[key], many) + inner]
-            at = np.repeat(at, many)
-            item = self.owner[q]
-            found.append(np.stack([owner[at], item, at - starts[owner[at]] - (q - self.starts[item])]))
-        if not found:
-            return []
+        owner, hits = textvec.owners(starts), []
+        for mask, (name, (lookup, first, _)) in enumerate(zip(MASKS + SHORT_MASKS, self.masks, strict=True)):
+            if len(lookup.keys):
+                h, at = seed_hashes(words, starts, name)
+                key = lookup.find(h)
+                hit = np.flatnonzero(key >= 0)
+                hits.append((mask, key[hit], at[hit], first[key[hit] + 1] - first[key[hit]]))
         best: dict[tuple[int, int], int] = {}
-        for doc, item, shift in np.unique(np.concatenate(found, axis=1), axis=1).T.tolist():
-            text, own = words[starts[doc] : starts[doc + 1]], self.words[self.starts[item] : self.starts[item + 1]]
-            lo, hi = max(0, -shift), min(len(own), len(text) - shift)
-            span = min(len(own), SPAN)
-            if hi - lo < span:
-                continue
-            total = np.concatenate([[0], np.cumsum(text[lo + shift : hi + shift] == own[lo:hi])])
-            most = int((total[span:] - total[:-span]).max())
-            if most >= SHARE * span:
-                best[doc, item] = max(best.get((doc, item), 0), most)
+        for doc, item, most in [*self._few(words, starts, owner, hits), *self._many(words, starts, owner, hits)]:
+            for i, m in zip(item.tolist(), most.tolist(), strict=True):
+                best[doc, i] = max(best.get((doc, i), 0), m)
         return [(d, i, m) for (d, i), m in best.items()]
 
+    def _few(self, words: np.ndarray, starts: np.ndarray, owner: np.ndarray, hits: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Seeds of few items: every diagonal by itself, in slices of the hits."""
+        parts = []
+        for mask, key, at, many in hits:
+            few = np.flatnonzero(many < BUNDLE)
+            parts.append(np.stack([at[few], np.full(len(few), mask), key[few], many[few]]))
+        if not parts:
+            return
+        rows = np.concatenate(parts, axis=1)
+        rows = rows[:, np.argsort(rows[0], kind="stable")]
+        ends, begin = np.cumsum(rows[3]), 0
+        while begin < rows.shape[1]:
+            done = ends[begin - 1] if begin else 0
+            to = max(begin + 1, int(np.searchsorted(ends, done + SLICE, side="right")))
+            found = []
+            for mask, (_, first, places) in enumerate(self.masks):
+                at, _, key, many = own = rows[:, begin:to][:, rows[1, begin:to] == mask]
+                if own.shape[1]:
+                    inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    q, at = places[np.repeat(first[key], many) + inner], np.repeat(at, many)
+                    item = self.owner[q]
+                    found.append(np.stack([owner[at], item, at - starts[owner[at]] - (q - self.starts[item])]))
+            doc, item, shift = np.unique(np.concatenate(found, axis=1), axis=1)
+            most = self._agreement(words, starts, doc, item, shift)
+            good = np.flatnonzero(most >= SHARE * np.minimum(self.sizes[item], SPAN))
+            for d, i, m in zip(doc[good].tolist(), item[good], most[good], strict=True):
+                yield d, i[None], m[None]
+            begin = to
+
+    def _agreement(self, words: np.ndarray, starts: np.ndarray, doc: np.ndarray, item: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """Agreeing words of the best stretch on each diagonal; -1 where none fits."""
+        out = np.full(len(doc), -1, np.int64)
+        span = np.minimum(self.sizes[item], SPAN)
+        lo, hi = np.maximum(0, -shift), np.minimum(self.sizes[item], np.diff(starts)[doc] - shift)
+        fits = np.flatnonzero(hi - lo >= span)
+        ends, begin = np.cumsum(hi[fits] - lo[fits]), 0
+        while begin < len(fits):
+            done = ends[begin - 1] if begin else 0
+            to = max(begin + 1, int(np.searchsorted(ends, done + SLICE, side="right")))
+            at = fits[begin:to]
+            n, w = hi[at] - lo[at], hi[at] - lo[at] - span[at] + 1
+            base = np.cumsum(n) - n
+            inside = np.arange(n.sum()) - np.repeat(base - lo[at], n)
+            same = words[np.repeat(starts[doc[at]] + shift[at], n) + inside] == self.words[np.repeat(self.starts[item[at]], n) + inside]
+            total = np.concatenate([[0], np.cumsum(same)])
+            begins = np.cumsum(w) - w
+            window = np.arange(w.sum()) + np.repeat(base - begins, w)
+            out[at] = np.maximum.reduceat(total[window + np.repeat(span[at], w)] - total[window], begins)
+            begin = to
+        return out
+
+    def _many(self, words: np.ndarray, starts: np.ndarray, owner: np.ndarray, hits: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Seeds of many items: all items of a bundle are compared with the text at once, each diagonal of the bundle once."""
+        if self.held > BUNDLE_WORDS:
+            self._forget()
+        met: set[tuple[int, int, int]] = set()
+        for mask, key, at, many in hits:
+            often = np.flatnonzero(many >= BUNDLE)
+            for p, k, d in zip(at[often].tolist(), key[often].tolist(), owner[at[often]].tolist(), strict=True):
+                for bundle, place in self._bundles(mask, k):
+                    met.add((d, bundle, p - int(starts[d]) - place))
+        last, best = -1, np.zeros(0, np.int16)
+        for d, bundle, shift in sorted(met):
+            if d != last:
+                if len(found := np.flatnonzero(best)):
+                    yield last, found, best[found]
+                last, best = d, np.zeros(len(self.items), np.int16)
+            text = words[starts[d] : starts[d + 1]]
+            for item, own in self.members[bundle]:
+                size = len(own)
+                span, lo, hi = min(size, SPAN), max(0, -shift), min(size, len(text) - shift)
+                if hi - lo < span:
+                    continue
+                run, most, kept = np.zeros(len(item), np.int16), np.zeros(len(item), np.int16), []
+                for k in range(lo, hi):
+                    kept.append(own[k] == text[k + shift])
+                    run += kept[-1]
+                    if k - lo >= span:
+                        run -= kept[k - lo - span]
+                        kept[k - lo - span] = None
+                    if k - lo >= span - 1:
+                        np.maximum(most, run, out=most)
+                good = most >= SHARE * span
+                best[item[good]] = np.maximum(best[item[good]], most[good])
+        if len(found := np.flatnonzero(best)):
+            yield last, found, best[found]
+
 
 def matched(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs, with _found: each row's own (item_id, n_words)."""
     spark = docs.sparkSession
-    items, _ = staged(benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"), (F.length(F.coalesce("text", F.lit(""))) / 2 + 1).alias("most")))
+    items, items_path = staged(benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"), (F.length(F.coalesce("text", F.lit(""))) / 2 + 1).alias("most")).distinct())
     blocks = max(1, int(-(-(items.agg(F.sum("most")).first()[0] or 0) // BLOCK_WORDS)))
     item_kind = benchmark.schema["item_id"].dataType
 
     def finder(sent, names: list[str]):  # noqa: ANN001, ANN202
-        kind = pa.struct([("item_id", item_type(item_kind.simpleString())), ("n_words", pa.int64())])
+        kind = pa.struct([("item_id", to_arrow_type(item_kind)), ("n_words", pa.int64())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seeds = sent.value
@@ -127,7 +239,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame
     new = T.StructField("_new", T.ArrayType(T.StructType([T.StructField("item_id", item_kind), T.StructField("n_words", T.LongType())])))
     rows, before = small_batches(docs), None
     for block in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).select("item_id", "text").collect()
+        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).select("item_id", "text").collect()
         sent = spark.sparkContext.broadcast(Seeds([r[0] for r in own], [r[1].encode() for r in own]))
         last = block + 1 == blocks
         names = [c for c in rows.columns if not last or c in keep or c == "_found"]
@@ -139,13 +251,10 @@ def matched(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame
                 dropped(spark, before)
             sent.unpersist()
             before = path
+    dropped(spark, items_path)
     return rows
 
 
-def item_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Each row's doc_id with contaminated, the items found (sorted), their number and the longest agreement."""
     items = F.sort_array(F.array_distinct(F.array_compact("_found.item_id")))

@@ -96,16 +96,18 @@ FROM t LEFT JOIN c USING (doc_id)
 
 
 def _decontamination() -> str:
-    masks = ", ".join(f"({len(m)}, [{', '.join(str(k) for k, c in enumerate(m) if c == '1')}])" for m in decontamination.MASKS)
+    places = lambda m: ", ".join(str(k) for k, c in enumerate(m) if c == "1")
+    masks = ", ".join(f"({k}, {len(m)}, [{places(m)}])" for k, m in enumerate(decontamination.MASKS + decontamination.SHORT_MASKS))
     words = f"list_filter(string_split_regex(translate(regexp_replace(coalesce(text, ''), '[!-/:-@\\[-`{{-~]', '', 'g'), '{_UP}', '{_LOW}'), '{WHITE}'), lambda x: x <> '')"
     windows = "array_to_string(list_transform(places, lambda p: ws[i + p + 1]), ' ')"
     return f"""
-WITH m(span, places) AS (VALUES {masks}),
+WITH m(mask, span, places) AS (VALUES {masks}),
 d AS (SELECT DISTINCT doc_id, {words} AS ws FROM documents),
 b AS (SELECT item_id, {words} AS ws FROM benchmark),
-dw AS (SELECT doc_id, i, span, {windows} AS h FROM (SELECT doc_id, ws, span, places, unnest(range(0, len(ws) - span + 1)) i FROM d, m)),
-bw AS (SELECT item_id, i, span, {windows} AS h FROM (SELECT item_id, ws, span, places, unnest(range(0, len(ws) - span + 1)) i FROM b, m WHERE len(ws) >= {decontamination.LEAST_WORDS})),
-hit AS (SELECT DISTINCT dw.doc_id, bw.item_id, dw.i - bw.i AS shift FROM dw JOIN bw USING (span, h)),
+bw AS (SELECT item_id, i, mask, {windows} AS h FROM (SELECT item_id, ws, mask, places, unnest(range(0, len(ws) - span + 1)) i
+       FROM b, m WHERE len(ws) >= {decontamination.LEAST_WORDS} AND (mask < {len(decontamination.MASKS)} OR len(ws) <= {decontamination.SHORT}))),
+dw AS (SELECT doc_id, i, mask, {windows} AS h FROM (SELECT doc_id, ws, mask, places, unnest(range(0, len(ws) - span + 1)) i FROM d, m WHERE mask IN (SELECT mask FROM bw))),
+hit AS (SELECT DISTINCT dw.doc_id, bw.item_id, dw.i - bw.i AS shift FROM dw JOIN bw USING (mask, h)),
 o AS (SELECT hit.*, d.ws AS t, b.ws AS q, greatest(0, -shift) AS lo, least(len(b.ws), len(d.ws) - shift) AS hi, least(len(b.ws), {decontamination.SPAN}) AS n FROM hit JOIN d USING (doc_id) JOIN b USING (item_id)),
 f AS (SELECT doc_id, item_id, n, list_max(list_transform(range(lo, hi - n + 1), lambda s: list_sum(list_transform(range(s, s + n), lambda k: CAST(t[k + shift + 1] = q[k + 1] AS INT))))) AS most FROM o WHERE hi - lo >= n),
 r AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items, max(most) AS most FROM f WHERE most >= {decontamination.SHARE} * n GROUP BY doc_id)
