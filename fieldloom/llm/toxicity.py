@@ -9,15 +9,19 @@ One weight vector serves every threshold:
     P(grade >= k) = 1 / (1 + exp(theta_k - w x)),  theta_1 < theta_2,
 
 fitted by full-batch Adam on the negative log likelihood with an L2 term.
-The fit uses at most MOST_LABELS labelled rows (by hash of doc_id), the
+The fit uses at most MOST_LABELS labelled documents (by hash of doc_id), the
 scores cover every whole text. A document is toxic where P(grade >= 1)
-reaches the cut with the best F1 on a held-out fifth of these rows.
+reaches the cut with the best F1 on held-out documents: each fifth of them
+(by another hash of doc_id) is scored by a model of the other four. Rows
+are put in one order before the fit, so that the model doesn't depend on
+how the data are partitioned.
 
 Defined results: null and empty texts have no features and get the base
-rate's severity; repeated rows are scored alike; labels without a document,
-with a null or repeated (the largest counts) are allowed; without both
-classes the severity is 0 and nothing is toxic; other columns are ignored;
-an empty table gives an empty result.
+rate's severity; repeated rows are scored alike, and each labelled one is a
+row of the fit; labels without a document and labels with a null in either
+column don't count, of repeated ones the largest does; without both classes
+the severity is 0 and nothing is toxic; null doc_ids are carried through;
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,12 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import buffers, pieces, table, texts
+from .common import buffers, dropped, pieces, staged, table, texts
 
 MOST_LABELS, MOST_FEATURES = 20_000, 1024
 HEADS = (0, 4, 5, 6)
-LEAST_CHI2, LEAST_DOCS = 15.0, 5
-GRADES = 3
+LEAST_CHI2, LEAST_DOCS = 15.0, 3
+GRADES, FOLDS = 3, 5
 
 
 @dataclass
@@ -103,10 +107,8 @@ def chosen(rows: DataFrame) -> np.ndarray:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Model:
-    rows = sample(docs, labels, most)
+    rows, path = staged(sample(docs, labels, most))
     features = chosen(rows)
-    if not len(features):
-        return Model(features)
     lookup = textvec.Lookup(features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,52 +116,92 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Model
             doc, feature, n = _cells(batch, lookup)
             at = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (feature.astype(np.int32), n.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *lists], ["toxic", "at", "n"])
-
-    got = rows.select("doc_id", "raw", "toxic").mapInArrow(run, "toxic int, at array<int>, n array<int>").collect()  # at most `most` rows
-    x, toxic = np.zeros((len(got), len(features)), np.float32), np.array([r["toxic"] > 0 for r in got])
-    tf = np.zeros_like(x)
-    for k, r in enumerate(got):
-        tf[k, r["at"]] = r["n"]
-    np.log1p(tf, out=x)
-    share = ((tf > 0) & toxic[:, None]).sum(0) / max(1, toxic.sum()), ((tf > 0) & ~toxic[:, None]).sum(0) / max(1, (~toxic).sum())
-    marked = tf[:, share[0] > 10 * share[1]].sum(1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("place", "fold", "toxic")), *lists], ["place", "fold", "toxic", "at", "n"])
+
+    placed = rows.select(F.xxhash64("doc_id").alias("place"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold"), "raw", "toxic")
+    got = placed.mapInArrow(run, "place long, fold int, toxic int, at array<int>, n array<int>").collect() if len(features) else []  # at most `most` documents
+    dropped(docs.sparkSession, path)
+    if not got:
+        return Model(features)
+    got.sort(key=lambda r: (r["place"], r["at"], r["n"], r["toxic"]))
+    x, tf = Sparse.of([r["at"] for r in got], [r["n"] for r in got], len(features)), np.concatenate([r["n"] for r in got])
+    toxic, folds = np.array([r["toxic"] > 0 for r in got]), np.array([r["fold"] for r in got])
+    count = lambda which: np.bincount(x.columns, which[x.rows].astype(float), minlength=len(features)) / max(1, which.sum())
+    marking = count(toxic) > 10 * count(~toxic)
+    marked = np.bincount(x.rows, tf * marking[x.columns], minlength=len(got))
     grade = np.where(toxic, 1 + (marked > np.median(marked[toxic])), 0)
-    held = np.arange(len(got)) % 5 == 4
-    model = ordinal(features, x[~held], grade[~held])
-    p, y = model.above(x[held] @ model.weights)[:, 0], toxic[held]
+    p = np.zeros(len(got))
+    for fold in np.unique(folds):
+        fit, rest = np.flatnonzero(folds != fold), np.flatnonzero(folds == fold)
+        if len(fit):
+            own = ordinal(features, x.taken(fit), grade[fit])
+            p[rest] = own.above(x.taken(rest).dot(own.weights))[:, 0]
+    model = ordinal(features, x, grade)
     cuts = np.linspace(0.1, 0.9, 33)
-    f1 = [2 * (y & (p >= c)).sum() / max(1, y.sum() + (p >= c).sum()) for c in cuts]
+    f1 = [2 * (toxic & (p >= c)).sum() / max(1, toxic.sum() + (p >= c).sum()) for c in cuts]
     best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-12)
-    model.cut = float(cuts[best[len(best) // 2]]) if y.any() else 0.5
+    model.cut = float(cuts[best[len(best) // 2]])
     return model
 
 
-def ordinal(features: np.ndarray, x: np.ndarray, grade: np.ndarray, steps: int = 400, l2: float = 1e-4, rate: float = 0.1) -> Model:
+@dataclass
+class Sparse:
+    """A matrix of n rows by its filled cells, rows in order."""
+
+    n: int
+    width: int
+    rows: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, at: list, n: list, width: int) -> Sparse:
+        """Row k has log(1 + n) in the columns at[k]."""
+        rows = np.repeat(np.arange(len(at)), [len(x) for x in at])
+        return cls(len(at), width, rows, np.concatenate([np.asarray(x, np.int64) for x in at]), np.log1p(np.concatenate([np.asarray(x, float) for x in n])))
+
+    def taken(self, which: np.ndarray) -> Sparse:
+        place = np.full(self.n, -1, np.int64)
+        place[which] = np.arange(len(which))
+        own = place[self.rows] >= 0
+        return Sparse(len(which), self.width, place[self.rows[own]], self.columns[own], self.values[own])
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, self.values * w[self.columns], minlength=self.n)
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        """The transposed matrix by g."""
+        return np.bincount(self.columns, self.values * g[self.rows], minlength=self.width)
+
+
+def loss(w: np.ndarray, raw: np.ndarray, x: Sparse, grade: np.ndarray, l2: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood with the L2 term, and its slopes by the weights and by raw (first threshold, logarithms of the gaps)."""
+    n, gaps, rows = x.n, np.exp(raw[1:]), np.arange(x.n)
+    theta = raw[0] + np.concatenate([[0], np.cumsum(gaps)])
+    s = x.dot(w)
+    p = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(np.clip(theta[None, :] - s[:, None], -50, 50))), np.zeros((n, 1))], axis=1)
+    slope = p * (1 - p)  # derivative of P(grade >= k) by the score
+    own = np.maximum(p[rows, grade] - p[rows, grade + 1], 1e-12)
+    by_score = -(slope[rows, grade] - slope[rows, grade + 1]) / own
+    by_theta = np.zeros(GRADES + 1)
+    np.add.at(by_theta, grade, slope[rows, grade] / own)
+    np.add.at(by_theta, grade + 1, -slope[rows, grade + 1] / own)
+    back = np.cumsum((by_theta[1:GRADES] / n)[::-1])[::-1]
+    return float(-np.log(own).mean() + l2 / 2 * w @ w), x.back(by_score) / n + l2 * w, np.concatenate([back[:1], back[1:] * gaps])
+
+
+def ordinal(features: np.ndarray, x: Sparse, grade: np.ndarray, steps: int = 400, l2: float = 1e-4, rate: float = 0.1) -> Model:
     """Fit shared weights and ordered thresholds (the first, then positive gaps as exponentials)."""
-    w = np.zeros(x.shape[1])
     share = np.array([(grade >= k).mean() for k in range(1, GRADES)]).clip(1e-4, 1 - 1e-4)
     start = np.log((1 - share) / share)
-    raw = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
-    m, v = np.zeros(len(w) + len(raw)), np.zeros(len(w) + len(raw))
-    rows = np.arange(len(x))
+    at = np.concatenate([np.zeros(x.width), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
+    m, v = np.zeros(len(at)), np.zeros(len(at))
     for step in range(1, steps + 1):
-        gaps = np.exp(raw[1:])
-        theta = raw[0] + np.concatenate([[0], np.cumsum(gaps)])
-        s = x @ w
-        p = np.concatenate([np.ones((len(x), 1)), 1 / (1 + np.exp(np.clip(theta[None, :] - s[:, None], -50, 50))), np.zeros((len(x), 1))], axis=1)
-        slope = p * (1 - p)  # derivative of P(grade >= k) by the score
-        own = np.maximum(p[rows, grade] - p[rows, grade + 1], 1e-12)
-        by_score = -(slope[rows, grade] - slope[rows, grade + 1]) / own
-        by_theta = np.zeros(GRADES + 1)
-        np.add.at(by_theta, grade, slope[rows, grade] / own)
-        np.add.at(by_theta, grade + 1, -slope[rows, grade + 1] / own)
-        t = by_theta[1:GRADES] / len(x)
-        back = np.cumsum(t[::-1])[::-1]
-        g = np.concatenate([x.T @ by_score / len(x) + l2 * w, back[:1], back[1:] * gaps])
+        _, *slopes = loss(at[: x.width], at[x.width :], x, grade, l2)
+        g = np.concatenate(slopes)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, raw = w - move[: len(w)], raw - move[len(w) :]
+        at = at - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    w, raw = at[: x.width], at[x.width :]
     return Model(features, w, raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))]))
 
 
