@@ -2,19 +2,27 @@
 
 From each rule's regular expression a Boolean query over trigrams is
 derived, as alternatives of conjunctions: literals give conjunctions,
-branches and small character classes alternatives. Postings (trigram, doc_id) are gathered for the
-trigrams of all queries, intersected for each document as bit masks, and
-only documents that satisfy a rule's query are searched by its expression.
-Rules without mandatory trigrams search every document.
+branches and small character classes alternatives. Postings (trigram,
+doc_id) are gathered for the trigrams of all queries, intersected for each
+document as bit masks, and only documents that satisfy a rule's query are
+searched by its expression. Rules without mandatory trigrams search every
+document.
+
+The candidates are a stored table. A bit table of theirs, of fixed size, is
+sent to all tasks; only texts that it holds are shuffled to the candidates,
+all others are searched where they are, by the rules without a query. The
+bit table decides what is shuffled and never what is found.
 
 Match positions come from the pieces between matches: a match starts after
-all pieces and matches before it.
+all pieces and matches before it, which running sums over blocks of matches
+give.
 
 Defined results: null and empty texts hold nothing; repeated rows are
 searched alike; a doc_id in several rows is a candidate in all of them if
-one satisfies the query, and each is verified by itself (null ids
-likewise); other columns are ignored; an empty table gives an empty result.
-Offsets are in code points, ends are exclusive.
+one satisfies the query, and each is verified by itself; rows with a null
+doc_id are searched by every rule, where they are; other columns are
+ignored; an empty table gives an empty result. Offsets are in code points,
+ends are exclusive.
 """
 
 from __future__ import annotations
@@ -26,7 +34,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import staged, table
 from .quality import let
 
 
@@ -57,6 +65,10 @@ MOST_STRINGS = 24
 #: A query: alternatives, each a set of trigrams that a text must hold together; None: nothing is mandatory.
 Query = frozenset | None
 MOST_ALTERNATIVES = 64
+#: Bits of the bit table of candidates (16 MB), and of one row of it.
+BITS, ROW_BITS = 1 << 27, 1 << 15
+#: Matches of one block of the running sums.
+BLOCK = 512
 
 
 def either(alternatives: set[frozenset]) -> Query:
@@ -153,7 +165,7 @@ def trigrams(query: Query) -> set[str]:
 
 def postings(docs: DataFrame, wanted: list[str]) -> DataFrame:
     """(trigram, doc_id): which documents hold which of the wanted trigrams; trigram is its place in the list."""
-    low = docs.select("doc_id", F.lower("text").alias("low")).filter("low is not null")
+    low = docs.select("doc_id", F.lower("text").alias("low")).filter("low is not null and doc_id is not null")
     held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(k)) for k, t in enumerate(wanted)]))
     return low.select("doc_id", F.explode(held).alias("trigram"))
 
@@ -180,6 +192,24 @@ def candidates(index: DataFrame, queries: dict[str, Query], wanted: list[str]) -
     return found.filter(some)
 
 
+def _running(sizes: Column, start: Column) -> Column:
+    """start plus the sum of all sizes before each one."""
+    begin = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda state, n: F.struct((state["at"] + n).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+    return F.aggregate(sizes, begin, step, lambda s: s["out"])
+
+
+def running_sums(sizes: Column) -> Column:
+    """The sum of all sizes before each one; blocks first, then inside them, so that long arrays aren't copied at every element."""
+
+    def blocked(x: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), (F.size(x) - 1).cast("int"), F.lit(BLOCK)), lambda k: F.slice(x, k + 1, F.lit(BLOCK)))
+        total = lambda y: F.aggregate(y, F.lit(0), lambda a, n: a + n)
+        return let(blocks, lambda y: let(_running(F.transform(y, total), F.lit(0)), lambda at: F.flatten(F.transform(y, lambda own, k: _running(own, F.get(at, k))))))
+
+    return let(sizes, lambda x: F.when(F.size(x) <= BLOCK, _running(x, F.lit(0))).otherwise(blocked(x)))
+
+
 def spans(text: Column, rule: Rule, kind: int) -> Column:
     """array<struct<start, kind, end>> of the rule's matches, by start."""
     pattern = F.lit(rule.pattern)
@@ -190,15 +220,8 @@ def spans(text: Column, rule: Rule, kind: int) -> Column:
         good = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda x: F.length(x) >= rule.least)
 
         def placed(m: Column) -> Column:
-            begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-            def step(state: Column, k: Column) -> Column:
-                start = state["at"] + F.length(F.get(gaps, k))
-                end = start + F.get(m, k)
-                one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-                return F.struct(end.alias("at"), F.concat(state["out"], one).alias("out"))
-
-            return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), begin, step, lambda s: s["out"])
+            before = lambda k: F.length(F.get(gaps, k))
+            return let(running_sums(F.transform(m, lambda n, k: before(k) + n)), lambda at: F.transform(m, lambda n, k: F.struct((F.get(at, k) + before(k)).alias("start"), F.lit(kind).alias("kind"), (F.get(at, k) + before(k) + n).alias("end"))))
 
         all_ = let(matches, placed)
         return let(good, lambda g: F.filter(all_, lambda x, k: F.get(g, k))) if rule.least else all_
@@ -206,27 +229,42 @@ def spans(text: Column, rule: Rule, kind: int) -> Column:
     return let(F.split(text, pattern, -1), lambda gaps: F.when(F.size(gaps) > 1, found(gaps)).otherwise(none))
 
 
+def _bit(name: str) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(BITS))
+
+
+def bit_table(ids: DataFrame) -> DataFrame:
+    """(_at, _bits): a bit for each doc_id, in BITS / ROW_BITS rows of 4 kB at most."""
+    bit = ids.select(_bit("doc_id").alias("b")).select(F.floor(F.col("b") / ROW_BITS).cast("int").alias("_at"), F.pmod("b", F.lit(ROW_BITS)).alias("b"))
+    return bit.groupBy("_at").agg(F.bitmap_construct_agg("b").alias("_bits"))
+
+
 def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, n_<kind> of each rule, the digest of the base spans, and all spans."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
     wanted = sorted(set().union(*map(trigrams, queries.values())))
-    found = candidates(postings(docs, wanted), queries, wanted).withColumnRenamed("doc_id", "_doc")
-    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col(f"may_{next(iter(queries))}").isNotNull(), "left")
+    found, _ = staged(candidates(postings(docs, wanted), queries, wanted).select(F.col("doc_id").alias("_doc"), *[f"may_{k}" for k in queries]))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.floor(_bit("doc_id") / ROW_BITS).cast("int").alias("_at"))
+    bits = F.broadcast(bit_table(found.select(F.col("_doc").alias("doc_id"))))  # at most BITS bits
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(ROW_BITS))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    rows = rows.join(bits, "_at", "left").withColumn("_in", F.coalesce((byte.bitwiseAND(F.expr(f"shiftleft(1, cast(pmod(xxhash64(doc_id), {ROW_BITS}) % 8 as int))")) != 0) & F.col("doc_id").isNotNull(), F.lit(False)))
+    here = rows.filter("not _in").select("doc_id", "text", *[F.col("doc_id").isNull().alias(f"may_{k}") for k in queries])
+    there = rows.filter("_in").select("doc_id", "text").join(found, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "text", *[F.coalesce(f"may_{k}", F.lit(False)).alias(f"may_{k}") for k in queries])
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    each = {}
-    for k, rule in enumerate(rules):
-        own = spans(F.col("text"), rule, k)
-        each[f"_s{k}"] = F.when(F.coalesce(f"may_{rule.kind}", F.lit(False)), own).otherwise(none) if rule.kind in queries else own
-    listed = joined.select("doc_id", *[c.alias(n) for n, c in each.items()])
     names = F.array(*[F.lit(r.kind) for r in rules])
+    n_base = sum(1 for r in rules if r.kind in {x.kind for x in BASE_RULES})
 
     def text_of(n: int) -> Column:
-        rows = F.sort_array(F.concat(*[F.col(f"_s{k}") for k in range(n)]))
-        return F.array_join(F.transform(rows, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
+        found = F.sort_array(F.concat(*[F.col(f"_s{k}") for k in range(n)]))
+        return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
+
+    def searched(part: DataFrame) -> DataFrame:
+        each = [F.when(F.col(f"may_{r.kind}"), spans(F.col("text"), r, k)).otherwise(none) if r.kind in queries else spans(F.col("text"), r, k) for k, r in enumerate(rules)]
+        listed = part.select("doc_id", *[c.alias(f"_s{k}") for k, c in enumerate(each)])
+        return listed.select("doc_id", *[F.size(f"_s{k}").cast("long").alias(f"n_{r.kind}") for k, r in enumerate(rules)], F.sha2(text_of(n_base), 256).alias("base_sha256"), text_of(len(rules)).alias("spans"))
 
-    base = [r.kind for r in BASE_RULES]
-    n_base = sum(1 for r in rules if r.kind in base)
-    return listed.select("doc_id", *[F.size(f"_s{k}").cast("long").alias(f"n_{r.kind}") for k, r in enumerate(rules)], F.sha2(text_of(n_base), 256).alias("base_sha256"), text_of(len(rules)).alias("spans"))
+    return searched(here).unionByName(searched(there))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
