@@ -6,7 +6,9 @@ documents are also put in cuckoo filters, one for each shard of the key
 space, which screen lines before the exact join. Adding documents adds
 postings and fingerprints; removing documents removes postings and, for
 keys that fall below the limit, fingerprints. So the state after an
-insertion and its deletion equals the state before.
+insertion and its deletion equals the state before. An insertion writes its
+own postings beside those that are there, and new counts of repeated keys;
+parts are put together when there are MOST_PARTS of them.
 
 Keys are 16 bytes of BLAKE2b over the stripped, lower-cased line.
 
@@ -36,6 +38,8 @@ SHARD_KEYS = 1 << 16
 #: Filters of more bytes than this aren't broadcast; each shard's postings are then sent to its filter, so many at a time.
 FILTER_BYTES, GROUP_ROWS = 64 << 20, 1 << 18
 SLOTS = 4
+#: Tables of postings beside each other.
+MOST_PARTS = 8
 
 
 def line_key(line: bytes) -> bytes | None:
@@ -155,29 +159,41 @@ def filters_of(keys: DataFrame, n_shards: int, room: int = 1) -> DataFrame:
 class LineState:
     """Tables of the incremental state; a shard that is full gets a larger filter, and where all are, there are more shards."""
 
-    postings: DataFrame
+    parts: list[DataFrame]
     counts: DataFrame
     filters: DataFrame
     n_shards: int
     least: int
 
+    @property
+    def postings(self) -> DataFrame:
+        out = self.parts[0]
+        for part in self.parts[1:]:
+            out = out.unionByName(part)
+        return out
+
     @classmethod
     def of(cls, docs: DataFrame, least: int = LEAST_DOCS) -> LineState:
         rows, _ = staged(postings(docs))
         counts, _ = staged(counted(rows).filter(F.col("n_docs") >= least))
         n = max(1, -(-counts.count() // SHARD_KEYS))
         made, _ = staged(filters_of(counts, n))
-        return cls(rows, counts, made, n, least)
+        return cls([rows], counts, made, n, least)
 
-    def _after(self, rows: DataFrame, touched: DataFrame) -> LineState:
+    def _after(self, parts: list[DataFrame], touched: DataFrame) -> LineState:
         """The state with these postings, of which only touched keys have new counts."""
-        rows, _ = staged(rows.select("key", "doc_id"))
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        if len(parts) > MOST_PARTS:
+            rows, _ = staged(rows)
+            parts = [rows]
         new = counted(rows.join(touched, "key", "left_semi")).filter(F.col("n_docs") >= self.least)
         counts, _ = staged(self.counts.join(touched, "key", "left_anti").unionByName(new).select("key", "n_docs", "last_doc"))
         n = -(-counts.count() // SHARD_KEYS)
         if n > 2 * self.n_shards:
             made, _ = staged(filters_of(counts, n))
-            return LineState(rows, counts, made, n, self.least)
+            return LineState(parts, counts, made, n, self.least)
         old, now = self.counts.select("key"), counts.select("key")
         change = now.join(old, "key", "left_anti").select("key", F.lit(True).alias("add")).unionByName(old.join(now, "key", "left_anti").select("key", F.lit(False).alias("add")))
 
@@ -198,18 +214,19 @@ class LineState:
         if not full.isEmpty():
             own = counts.withColumn("shard", shard(self.n_shards)).join(full, "shard", "left_semi")
             made, _ = staged(made.filter("slots is not null").unionByName(filters_of(own, self.n_shards, 2)))
-        return LineState(rows, counts, made, self.n_shards, self.least)
+        return LineState(parts, counts, made, self.n_shards, self.least)
 
     def insert(self, docs: DataFrame) -> LineState:
         """The state with these documents too; ones it already has change nothing."""
         new, _ = staged(postings(docs).join(self.postings, ["key", "doc_id"], "left_anti"))
-        return self._after(self.postings.unionByName(new), new.select("key").distinct())
+        return self._after([*self.parts, new.select("key", "doc_id")], new.select("key").distinct())
 
     def delete(self, ids: DataFrame) -> LineState:
         """The state without the documents of these doc_ids."""
         ids = ids.select("doc_id").distinct()
-        gone = self.postings.join(ids, "doc_id", "left_semi")
-        return self._after(self.postings.join(ids, "doc_id", "left_anti"), gone.select("key").distinct())
+        gone, _ = staged(self.postings.join(ids, "doc_id", "left_semi").select("key").distinct())
+        left, _ = staged(self.postings.join(ids, "doc_id", "left_anti").select("key", "doc_id"))
+        return self._after([left], gone)
 
     def screened(self) -> DataFrame:
         """Postings that pass the filters: all of a repeated key's, and few others."""
