@@ -5,7 +5,8 @@ each white-space-delimited chunk by itself. So ids are looked up in a
 table of chunks (by a 64-bit hash, A-Z as a-z), filled where a chunk is
 new; the table is emptied when it reaches a fixed number of entries, so
 memory is bounded. Lookups and joins are array operations over a batch.
-Texts that hold a special token's string go to the tokenizer whole.
+Texts that hold a special token's string go to the tokenizer whole, and so
+do all texts where the file's normaliser or pre-tokenizer is another one.
 """
 
 from __future__ import annotations
@@ -27,12 +28,23 @@ MOST_CHUNKS = 800_000
 #: Marks that may be cut off a chunk's end when what stands before is a letter or digit: they always begin a new pre-token.
 TAIL = re.compile(rb"^(.*?)([.,!?;:*$%&#|]+)$", re.S)
 
+#: The normaliser and the pre-tokenizer for which chunks can be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
+
 #: Bytes and the characters that stand for them in byte-level vocabularies: printable ones for themselves, others from U+0100 on.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _REST = [b for b in range(256) if b not in _PLAIN]
@@ -43,11 +55,12 @@ _CHARS = [*map(chr, _PLAIN), *(chr(0x100 + k) for k in range(len(_REST)))]
 class ChunkEncoder:
     """ids of texts, equal to Tokenizer.encode(text, add_special_tokens=False).ids.
 
-    For tokenizers that drop white space, lower-case with NFC, pre-tokenize
-    into runs of letters, single digits and runs of marks, and merge bytes
-    with an end-of-word suffix, ids in the order of the merges. Letter runs
-    and runs of marks at a chunk's end go through a faster byte-pair
-    engine with the same vocabulary, everything else through the tokenizer.
+    Chunks are taken apart for tokenizers that drop white space, lower-case
+    with NFC, and pre-tokenize into runs of letters, single digits and runs
+    of marks. If the model merges bytes with an end-of-word suffix, ids in
+    the order of the merges, letter runs and runs of marks at a chunk's end
+    go through a faster byte-pair engine with the same vocabulary,
+    everything else through the tokenizer. The file is checked for all this.
     """
 
     def __init__(self, path: str):
@@ -57,16 +70,23 @@ class ChunkEncoder:
         self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.table: dict[int, int] = {}
         self._clear()
-        self.merged = self._engine(path)
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        plain = not any(x.get(k) for x in made.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        cut = made.get("truncation") or made.get("padding")
+        self.chunked = plain and not cut and made.get("normalizer") == NORMALIZER and made.get("pre_tokenizer") == PRE_TOKENIZER
+        self.merged = self._engine(made["model"]) if self.chunked else None
 
     @staticmethod
-    def _engine(path: str) -> Callable[[bytes], list[int]] | None:
+    def _engine(model: dict) -> Callable[[bytes], list[int]] | None:
         """ids of one pre-token, or None where the vocabulary isn't of this kind. The suffix is the byte FF, which no text has."""
         import tiktoken
 
-        with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
-        if model.get("end_of_word_suffix") != "</w>" or model.get("ignore_merges") or model.get("dropout"):
+        if model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>" or any(model.get(k) for k in ("ignore_merges", "dropout", "unk_token", "continuing_subword_prefix", "byte_fallback")):
+            return None
+        pairs = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
+        merged = [model["vocab"].get("".join(x), -1) for x in pairs]
+        if any(a >= b for a, b in zip([-1, *merged], merged, strict=False)):  # ids must follow the order of the merges
             return None
         byte = {c: b for b, c in zip(_BYTES, _CHARS, strict=True)}
         ranks = {}
@@ -150,8 +170,15 @@ class ChunkEncoder:
                 out[d] = np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
         return out
 
+    def _plain(self, column: pa.Array) -> list[list[int]]:
+        """ids of each text by the tokenizer alone."""
+        texts = [(x or b"").decode() if isinstance(x, bytes | None) else x for x in column.to_pylist()]
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def lengths(self, column: pa.Array) -> np.ndarray:
         """Number of ids of each text."""
+        if not self.chunked:
+            return np.array([len(x) for x in self._plain(column)], np.int64)
         offsets, raw = buffers(column)
         entry, starts = self._entries(offsets, raw)
         total = np.concatenate([[0], np.cumsum(np.diff(self.begins)[entry])])
@@ -162,6 +189,9 @@ class ChunkEncoder:
 
     def encode(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one array, and where each text's begin; end: an id put after every text."""
+        if not self.chunked:
+            own = [x + [end] * (end is not None) for x in self._plain(column)]
+            return np.fromiter(chain.from_iterable(own), np.uint32), np.cumsum([0, *map(len, own)])
         offsets, raw = buffers(column)
         entry, starts = self._entries(offsets, raw)
         sizes = np.diff(self.begins)[entry]
