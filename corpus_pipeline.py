@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldloom.llm import decontamination, line_dedup, near_dedup, packing, quality
-from fieldloom.llm.common import staged, table
+from fieldloom.llm.common import dropped, staged, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates (five words, similarity 0.8)."""
-    return near_dedup.cleaned(docs, width=5)
+    """Keeps one document of each group of near-duplicates, as operator 5 links them (four words, similarity 0.8)."""
+    return near_dedup.cleaned(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,14 +40,17 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", dedup_lines), ("near_dedup", near_duplicates), ("decontamination", decontaminate), ("packing", pack)]
 
-#: Token ids can't be computed in SQL; tests/llm compares run() with a brute-force version.
+#: Token ids can't be computed in SQL; tests/llm/test_pipeline.py compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs, _ = staged(docs)
+            docs, path = staged(docs)
+            if before:  # the stage that read it is written
+                dropped(spark, before)
+            before = path
     return docs
