@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,6 +48,15 @@ def dropped(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def released(spark: SparkSession, paths: list[str]) -> None:
+    """Remove staged tables and let Spark's cleaner find the shuffles that nothing refers to any more."""
+    for path in paths:
+        dropped(spark, path)
+    paths.clear()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of a batch that is sent to Python, so that batches of texts stay at a few MB.
 BATCH_ROWS = 1000
 

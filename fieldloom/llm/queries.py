@@ -1,4 +1,4 @@
-"""The queries of this subpackage, and SQL for those that SQL can express."""
+"""The queries of this subpackage, and SQL for those that SQL can express. The pipeline of five of them is corpus_pipeline.py at the top."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import decontamination, line_dedup, lm_scoring, near_dedup, packing, pii, quality, secrets, token_counts, toxicity
 from .oracles import ORACLES
 
@@ -24,5 +22,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_pii": pii.op9_pii,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
-    "pipeline": corpus_pipeline.run,
 }

@@ -84,7 +84,8 @@ def test_near_dedup(docs):
     same(near_dedup.linked(df), ["doc_id", "n_shingles", "component_id"], brute.near(rows))
     kept = near_dedup.cleaned(df)
     assert kept.columns == df.columns
-    assert kept.count() == sum(d is None or d == c for d, _, c in brute.near(rows, 5))
+    assert kept.count() == sum(d is None or d == c for d, _, c in brute.near(rows))
+    same(near_dedup.linked(df, 5), ["doc_id", "n_shingles", "component_id"], brute.near(rows, 5))
 
 
 def test_secrets(docs):

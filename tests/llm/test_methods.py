@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from test_contracts import PASSAGE
 
-from fieldloom.llm import decontamination, line_dedup, lm_scoring, near_dedup, packing, pii, secrets, textvec
+from fieldloom.llm import decontamination, line_dedup, lm_scoring, near_dedup, packing, pii, secrets, textvec, toxicity
 
 
 def frame(spark, texts):
@@ -102,6 +102,20 @@ def test_insertion_and_deletion_undo_each_other(spark):
     assert sum(int((f.slots > 0).sum()) for f in held.values()) == len(keys(back))
 
 
+def test_insertions_append(spark, monkeypatch):
+    """The postings that were there are not written again, until there are many parts."""
+    monkeypatch.setattr(line_dedup, "MOST_PARTS", 3)
+    text = lambda k: f"a line that stands in all of them\na line of document {k} alone, long enough"
+    state, sizes = line_dedup.LineState.of(frame(spark, [text(0), text(1)])), []
+    for k in range(2, 6):
+        state = state.insert(spark.createDataFrame([(k, text(k))], "doc_id long, text string"))
+        sizes.append(len(state.parts))
+        whole = line_dedup.LineState.of(frame(spark, [text(x) for x in range(k + 1)]))
+        assert sorted(map(tuple, state.postings.collect())) == sorted(map(tuple, whole.postings.collect())) and sorted(map(tuple, state.counts.collect())) == sorted(map(tuple, whole.counts.collect()))
+    assert sizes == [2, 3, 1, 2]
+    assert len(state.dropped().collect()) == 5
+
+
 @pytest.mark.parametrize("shard_keys", [line_dedup.SHARD_KEYS, 6000])
 def test_insertions_go_on_when_a_shard_is_full(spark, monkeypatch, shard_keys):
     """With a larger filter, or with more shards."""
@@ -229,6 +243,70 @@ def test_every_allowed_substitution_is_found(size):
             assert found == ([(0, 0, size - n)] if n <= most else [])
 
 
+def plain_matches(texts, items):
+    """(document, item, most agreeing words of a stretch on one diagonal that holds a seed), by trying all diagonals."""
+    out = set()
+    masks = decontamination.MASKS + decontamination.SHORT_MASKS
+    for d, t in enumerate(texts):
+        for i, x in enumerate(items):
+            t_, x_ = t.split(), x.split()
+            span, most = min(len(x_), decontamination.SPAN), 0
+            if len(x_) < decontamination.LEAST_WORDS:
+                continue
+            own = masks if len(x_) <= decontamination.SHORT else decontamination.MASKS
+            for shift in range(-len(x_) + 1, len(t_)):
+                same = [x_[k] == t_[k + shift] for k in range(max(0, -shift), min(len(x_), len(t_) - shift))]
+                if len(same) >= span and any(all(same[k + j] for j, c in enumerate(m) if c == "1") for m in own for k in range(len(same) - len(m) + 1)):
+                    most = max(most, max(sum(same[k : k + span]) for k in range(len(same) - span + 1)))
+            if most >= decontamination.SHARE * span:
+                out.add((d, i, most))
+    return out
+
+
+def found_matches(texts, items):
+    from fieldloom.llm.common import buffers
+    import pyarrow as pa
+
+    seeds = decontamination.Seeds(list(range(len(items))), [x.encode() for x in items])
+    return seeds.matches(*textvec.words(*buffers(pa.array(texts)), punctuation=False))
+
+
+@pytest.mark.parametrize(("bundle", "part", "size"), [(32, 1 << 16, 1 << 20), (2, 3, 7), (1000, 4, 5)])
+def test_matches_equal_all_diagonals(monkeypatch, bundle, part, size):
+    """Also where many items share a seed, and in small slices."""
+    monkeypatch.setattr(decontamination, "BUNDLE", bundle)
+    monkeypatch.setattr(decontamination, "BUNDLE_ROWS", part)
+    monkeypatch.setattr(decontamination, "SLICE", size)
+    rng = random.Random(6)
+    some = lambda n, words: " ".join(rng.choices(words, k=n))
+    items = [some(rng.randint(3, 30), "abc") for _ in range(30)] + [f"what is the best known name of {some(rng.choice((1, 2, 3, 20)), 'abcdefgh')}" for _ in range(60)] + ["", "a"]
+    texts = ["", "a", *[some(rng.randint(1, 60), "abc") for _ in range(10)], *[f"{some(9, 'xyz')} what is the best known name of {some(12, 'abcdefgh')} what is the z known name" for _ in range(8)]]
+    got = found_matches(texts, items)
+    assert len(got) == len(set(got)) > 100
+    assert set(got) == plain_matches(texts, items)
+
+
+def test_many_items_of_one_stem_in_a_long_document():
+    """14,000 items, some 12,000 occurrences: bounded time and memory."""
+    import time
+
+    rng = random.Random(1)
+    stem = "which one of the following statements about topic{} is right"
+    text = " ".join(stem.format(rng.randrange(20000)) + " so" for _ in range(12000))
+    began = time.perf_counter()
+    got = found_matches([text, "none"], [stem.format(k) for k in range(14000)])
+    assert len(got) == 14000 and {m for _, _, m in got} == {9, 10} and {d for d, _, _ in got} == {0}
+    assert time.perf_counter() - began < 60
+
+
+@pytest.mark.parametrize("kind", ["smallint", "string", "decimal(20,2)", "date", "boolean", "double"])
+def test_item_ids_of_any_type(spark, kind):
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id int, text string").withColumn("item_id", (F.to_date(F.lit("2024-01-01")) if kind == "date" else F.col("item_id").cast(kind)))
+    got = decontamination.contamination(frame(spark, [PASSAGE, "none"]), items.unionByName(items))
+    assert got.schema["items"].dataType.elementType == items.schema["item_id"].dataType
+    assert sorted((r["contaminated"], len(r["items"])) for r in got.collect()) == [(False, 0), (True, 1)]
+
+
 # secrets
 
 
@@ -337,3 +415,102 @@ def test_a_phrase_stays_however_large_the_corpus(spark, monkeypatch, bits):
         own = [*brute.words(t), None]
         expected = sum(math.log10(probability(tuple(own[max(0, k - lm_scoring.DEPTH) : k]), w)) for k, w in enumerate(own))
         assert got[d] == pytest.approx(expected, abs=1e-6)
+
+
+# toxicity
+
+
+def toxic_cells(rng, n=60, width=5):
+    at = [sorted(rng.sample(range(width), rng.randint(0, width))) for _ in range(n)]
+    return at, [[rng.randint(1, 4) for _ in x] for x in at]
+
+
+def test_slopes_equal_differences_of_the_loss():
+    rng = random.Random(8)
+    at, many = toxic_cells(rng)
+    x = toxicity.Sparse.of(at, many, 5)
+    dense = np.zeros((60, 5))
+    for k, (a, m) in enumerate(zip(at, many, strict=True)):
+        dense[k, a] = np.log1p(m)
+    w, raw = np.array([rng.uniform(-1, 1) for _ in range(5)]), np.array([0.3, -0.2])
+    assert np.allclose(x.dot(w), dense @ w) and np.allclose(x.back(np.arange(60.0)), dense.T @ np.arange(60.0))
+    assert np.allclose(x.taken(np.array([3, 7, 9])).dot(w), (dense @ w)[[3, 7, 9]])
+    grade = np.array([rng.randint(0, 2) for _ in range(60)])
+    value, by_w, by_raw = toxicity.loss(w, raw, x, grade, 1e-2)
+    theta = raw[0] + np.array([0, np.exp(raw[1])])
+    above = np.concatenate([np.ones((60, 1)), 1 / (1 + np.exp(theta[None, :] - (dense @ w)[:, None])), np.zeros((60, 1))], axis=1)
+    assert value == pytest.approx(-np.log([above[k, g] - above[k, g + 1] for k, g in enumerate(grade)]).mean() + 0.005 * w @ w)
+    for k in range(7):
+        step = np.zeros(7)
+        step[k] = 1e-6
+        up, down = (toxicity.loss(w + s * step[:5], raw + s * step[5:], x, grade, 1e-2)[0] for s in (1, -1))
+        assert (up - down) / 2e-6 == pytest.approx(np.concatenate([by_w, by_raw])[k], abs=1e-6)
+
+
+def test_ordinal_fit_finds_ordered_grades():
+    rng = random.Random(5)
+    at = [[0] if g == 0 else [1] if g == 1 else [1, 2] for g in (rng.randint(0, 2) for _ in range(300))]
+    grade = np.array([0 if x == [0] else len(x) for x in at])
+    x = toxicity.Sparse.of(at, [[1] * len(y) for y in at], 3)
+    model = toxicity.ordinal(np.arange(3, dtype=np.uint64), x, grade)
+    assert model.thresholds[0] < model.thresholds[1]
+    above = model.above(x.dot(model.weights))
+    assert ((above > 0.5).sum(1) == grade).mean() > 0.99
+
+
+def test_toxicity_of_odd_labels(spark):
+    """Nulls, repeated and missing labels count as stated; partitions don't matter; documents are scored one by one."""
+    bad, good = "you utter nasty fool", "a calm walk along the river bank"
+    texts = [(f"{bad} number{k} " * (1 + k % 3) if k % 4 == 0 else f"{good} number{k}") for k in range(120)]
+    docs = frame(spark, texts).unionByName(spark.createDataFrame([(None, bad), (None, None), (4, texts[4])], "doc_id long, text string"))
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(120)], "doc_id long, toxic int")
+    odd = labels.unionByName(spark.createDataFrame([(None, 1), (1, None), (8, 0), (999, 1)], "doc_id long, toxic int"))
+    model = toxicity.fitted(docs, labels)
+    for other in (toxicity.fitted(docs.repartition(7), odd.repartition(5)), toxicity.fitted(docs.coalesce(1), odd)):
+        assert np.array_equal(model.features, other.features) and np.allclose(model.weights, other.weights, atol=1e-12) and model.cut == other.cut
+    got = toxicity.scored(docs, model).collect()
+    assert len(got) == 123
+    assert all(r["toxic"] == (r["doc_id"] % 4 == 0) for r in got if r["doc_id"] is not None)
+    assert sorted(r["toxic"] for r in got if r["doc_id"] is None) == [False, True]
+    one = toxicity.fitted(docs, labels.filter("toxic = 1"))
+    assert not any(r["toxic"] or r["expected_severity"] for r in toxicity.scored(docs, one).collect())
+    assert not len(toxicity.fitted(docs, labels.limit(0)).features)
+
+
+# token ids
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_other_tokenizer_files(name):
+    """Chunks are taken apart only where the file allows it."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from fieldloom.llm import tokens
+
+    texts = ["Two  words\nand it's 12 more.", "", " lead", "Café ÀÉ <|endoftext|> x", "don't stop"]
+    made, own = tokens.ChunkEncoder(tokens.tokenizer_path(name)), Tokenizer.from_file(tokens.tokenizer_path(name))
+    expected = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert made.chunked == (name == "word_bpe_49k.json") == (made.merged is not None)
+    column = pa.array([t.encode() for t in texts])
+    assert made.lengths(column).tolist() == [len(x) for x in expected]
+    ids, starts = made.encode(column, 1)
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(starts)] == [[*x, 1] for x in expected]
+
+
+# secrets in long texts and rows without an id
+
+
+def test_secrets_in_texts_of_many_matches(spark):
+    texts = ["token: abcdefgh1 " * 1500, "0123456789abcdef0123456789abcdef " * 700, "token: abcdefgh1 " * secrets.BLOCK]
+    rows = [*enumerate(texts), (None, "token: abcdefgh1"), (None, None), (2, "nothing"), (2, "secret=abcdefgh")]
+    got = secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    plain = sorted(((d, *brute.secrets(t)) for d, t in rows), key=repr)
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()), key=repr) == plain
+
+
+@pytest.mark.parametrize("bits", [secrets.BITS, secrets.ROW_BITS])
+def test_the_bit_table_does_not_change_results(spark, monkeypatch, bits):
+    monkeypatch.setattr(secrets, "BITS", bits)
+    docs = frame(spark, [f"plain {k}" if k % 5 else f"token: abcdefgh{k}" for k in range(300)])
+    assert {r["doc_id"] for r in secrets.scanned(docs).filter("n_assign > 0").collect()} == set(range(0, 300, 5))
