@@ -1,4 +1,4 @@
-"""Additive noise from a hash of cell and seed: the same field for any partitioning."""
+"""Additive noise from a digest of cell and seed: the same field for any partitioning, and in any engine that has MD5."""
 
 from __future__ import annotations
 
@@ -14,8 +14,8 @@ KINDS = ("GAUSSIAN", "UNIFORM", "LOG_NORMAL", "CAUCHY", "EXPONENTIAL", "BERNOULL
 
 def uniform01(seed: int, draw: int = 0) -> Column:
     """In (0, 1], by cell."""
-    h = F.pmod(F.xxhash64("i", "j", "k", F.lit(seed), F.lit(draw)), F.lit(1 << 48))
-    return (h.cast("double") + 1) / float(1 << 48)
+    digest = F.md5(F.concat_ws(":", "i", "j", "k", F.lit(seed), F.lit(draw)).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + 1) / F.lit(float(1 << 48))
 
 
 def sample(kind: str, seed: int, a: float, b: float) -> Column:

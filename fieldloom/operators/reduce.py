@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import NumericsError
-from ..plans.expr import Expr
+from ..errors import NumericsError, ValidationError
+from ..plans.expr import Expr, where
 from ..plans.lower import Grid
 from .stencils import grad_squared
 
@@ -74,3 +75,46 @@ def check_health(df: DataFrame, names: list[str], limit: float = math.inf, step:
             raise NumericsError("health", f"{where}: {got[f'{c}__n_bad']} values are not finite")
         if (got[f"{c}__max_abs"] or 0) > limit:
             raise NumericsError("health", f"{where}: |value| {got[f'{c}__max_abs']} exceeds {limit}")
+
+
+@dataclass
+class HealthGuard:
+    """Watched fields, and named conditions that must hold in every cell; all are looked at by one aggregate, every so many steps (0: never)."""
+
+    fields: list[str] = field(default_factory=list)
+    limit: float = math.inf
+    every: int = 100
+    conditions: dict[str, Expr] = field(default_factory=dict)
+
+    def watch(self, *names: str) -> HealthGuard:
+        self.fields += [n for n in names if n not in self.fields]
+        return self
+
+    def require(self, name: str, condition: Expr) -> HealthGuard:
+        if name in self.conditions:
+            raise ValidationError("HealthGuard", f"{name} is there already")
+        self.conditions[name] = condition
+        return self
+
+    def report(self, grid: Grid, params: dict[str, float] | None = None) -> DataFrame:
+        """One row: cells in which each field isn't finite, its largest size, and cells in which each condition fails."""
+        made = grid.assign({f"__ok_{k}": where(e, 1.0, 0.0) for k, e in self.conditions.items()}, params) if self.conditions else grid
+        wanted = {f"{c}__{k}": (k, c) for c in self.fields for k in ("n_bad", "max_abs")}
+        wanted |= {f"{k}__failed": ("sum", F.when(F.col(f"__ok_{k}") > 0, 0).otherwise(1)) for k in self.conditions}
+        return reduced(made.df, wanted)
+
+    def check(self, grid: Grid, step: int, time: float = 0.0, params: dict[str, float] | None = None) -> bool:
+        """Raise where something is wrong; False where nothing is due at this step."""
+        if not self.every or step % self.every or not (self.fields or self.conditions):
+            return False
+        got = self.report(grid, params).first().asDict()
+        at = f"step {step}, t = {time}"
+        for c in self.fields:
+            if got[f"{c}__n_bad"]:
+                raise NumericsError("HealthGuard", f"field {c}, {at}: {got[f'{c}__n_bad']} values are not finite")
+            if (got[f"{c}__max_abs"] or 0) > self.limit:
+                raise NumericsError("HealthGuard", f"field {c}, {at}: |value| {got[f'{c}__max_abs']} exceeds {self.limit}")
+        for k in self.conditions:
+            if got[f"{k}__failed"]:
+                raise NumericsError("HealthGuard", f"{k} fails in {got[f'{k}__failed']} cells, {at}")
+        return True

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..errors import ValidationError
 from ..mesh import Mesh
 from ..operators.boundary import Boundary
+from ..sources.scratch import remove, stored
 from .expr import Expr, halo, samples
 from .lower import Grid
 
@@ -84,16 +85,24 @@ def evolve(grid: Grid, rhs: dict[str, Expr], dt: float, steps: int, tile: tuple[
     mesh, params = grid.mesh, params or {}
     if mesh.dim > 2:
         raise ValidationError("evolve", "needs a 1D or 2D mesh")
+    if not all(r.mapped for f in rhs for a in range(mesh.dim) for r in grid.boundary(f).axis(a)):
+        raise ValidationError("evolve", "tiles take no custom rules and no rules by patch", "use Run or System")
     reach = max(1, *(halo(e)[0] for e in rhs.values()))
     read = sorted({f for e in rhs.values() for f, _ in samples(e)} | set(rhs))
     others = [c for c in grid.fields if c not in read]
-    done = 0
+    done, path = 0, None
     while done < steps:
         now = min(depth, steps - done)
         df = _round(grid, mesh, rhs, read, dt, now, reach * now, reach, tile, params)
         rest = grid.df.select("i", "j", "k", *others) if others else None
-        grid = grid.with_df(df.join(rest, ["i", "j", "k"]) if rest is not None else df)
+        df = df.join(rest, ["i", "j", "k"]) if rest is not None else df
         done += now
+        if done < steps:  # the next exchange begins from a table
+            (df, new), old = stored(df), path
+            if old:
+                remove(df.sparkSession, old)
+            path = new
+        grid = grid.with_df(df)
     return grid
 
 

@@ -125,17 +125,32 @@ def neighbours(grid: Grid, wanted: set[tuple[str, tuple[int, int, int]]]) -> tup
             here = tuple(x if a >= axis else 0 for a, x in enumerate(o))
             before = tuple(x if a > axis else 0 for a, x in enumerate(o))
             if o[axis] and here not in (None,) and name(f, here) not in done:
-                done[name(f, here)] = (name(f, before), o[axis], grid.boundary(f).axis(axis))
+                done[name(f, here)] = (name(f, before), o[axis], tuple(_placed(r, mesh, axis, o) for r in grid.boundary(f).axis(axis)))
         if done:
             df = _shifted(df, mesh, axis, done, grid.line)
     return df, name
 
 
+def _placed(rule: Rule, mesh: Mesh, axis: int, offset: tuple[int, int, int]) -> Rule | list[tuple[Column, Rule]]:
+    """A rule, or the rules of a side's parts with the rows whose ghost cell lies in each."""
+    if rule.kind != "parts":
+        return rule
+    out = []
+    for patch, own in rule.parts:
+        inside = F.lit(True)
+        for a, (lo, hi) in enumerate(zip(patch.lo, patch.hi, strict=True)):
+            if a != axis:
+                at = F.least(F.greatest(F.col(KEYS[a]) + offset[a], F.lit(0)), F.lit(mesh.n[a] - 1))
+                inside = inside & (at >= lo) & (at < hi)
+        out.append((inside, own))
+    return out
+
+
 def _moved(value: Column, by: int, window: Window) -> Column:
     return value if by == 0 else F.lead(value, by).over(window) if by > 0 else F.lag(value, -by).over(window)
 
 
-def _shifted(df: DataFrame, mesh: Mesh, axis: int, wants: dict[str, tuple[str, int, tuple[Rule, Rule]]], line: int) -> DataFrame:
+def _shifted(df: DataFrame, mesh: Mesh, axis: int, wants: dict[str, tuple[str, int, tuple]], line: int) -> DataFrame:
     n, key = mesh.n[axis], KEYS[axis]
     others = [k for a, k in enumerate(KEYS) if a != axis and mesh.n[a] > 1]
     width = max(abs(by) for _, by, _ in wants.values())
@@ -143,7 +158,7 @@ def _shifted(df: DataFrame, mesh: Mesh, axis: int, wants: dict[str, tuple[str, i
     if not blocks:
         window = Window.partitionBy(*others).orderBy(key) if others else Window.partitionBy(F.lit(0)).orderBy(key)
         return df.withColumns({new: _neighbour(old, by, rules, n, key, window, wrap=True) for new, (old, by, rules) in wants.items()})
-    periodic = any(r[0].kind == "periodic" for _, _, r in wants.values())
+    periodic = any(isinstance(r[0], Rule) and r[0].kind == "periodic" for _, _, r in wants.values())
     last = (n - 1) // line
     place, block = F.col(key), F.floor(F.col(key) / line).cast("int")
     copy = lambda b, p: F.struct(b.cast("int").alias("b"), p.cast("int").alias("p"))
@@ -157,10 +172,15 @@ def _shifted(df: DataFrame, mesh: Mesh, axis: int, wants: dict[str, tuple[str, i
     return out.filter((F.col("__c.p") == F.col(key)) & (F.col("__c.b") == F.floor(F.col(key) / line))).drop("__c")
 
 
-def _neighbour(old: str, by: int, rules: tuple[Rule, Rule], n: int, key: str, window: Window, wrap: bool) -> Column:
+def _neighbour(old: str, by: int, rules: tuple, n: int, key: str, window: Window, wrap: bool) -> Column:
     """The value `by` cells on; near an edge the rule's index, which is a shift of its own for each distance."""
     value, rule = F.col(old), rules[by > 0]
     inner = _moved(value, by, window)
+    if isinstance(rule, list):
+        out = F.when(F.lit(False), value)
+        for inside, own in rule:
+            out = out.when(inside, _neighbour(old, by, (own, own), n, key, window, wrap))
+        return out.otherwise(inner)
     if rule.kind == "periodic":
         if not wrap:
             return inner
@@ -169,6 +189,10 @@ def _neighbour(old: str, by: int, rules: tuple[Rule, Rule], n: int, key: str, wi
     out = F.when((F.col(key) + by >= 0) & (F.col(key) + by < n), inner)
     for far in range(min(abs(by), n)):
         at = n - 1 - far if by > 0 else far
+        if rule.kind == "custom":
+            cell = lambda c, far=far: _moved(value, far - min(c, n - 1) if by > 0 else min(c, n - 1) - far, window)
+            out = out.when(F.col(key) == at, rule.ghost(cell, abs(by) - far))
+            continue
         to = rule.index(at + by, n)
         out = out.when(F.col(key) == at, F.lit(rule.value) if to is None else _moved(value, to - at, window))
     return out

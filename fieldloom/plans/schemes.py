@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from ..errors import ConfigError, warn_once
 from ..mesh import Mesh
 from ..operators import stencils
+from ..sources.config import parse
 from .expr import Expr, key_of, transformed
 
 #: Families with their schemes; the first is the default. Fixed names.
@@ -70,6 +72,15 @@ class Schemes:
         config = dict(config)
         return cls({k: v for k, v in config.items() if isinstance(v, dict)}, defaults or {}, config.get("policy") == "strict")
 
+    @classmethod
+    def beside(cls, settings: str, defaults: dict[str, str] | None = None) -> Schemes:
+        """schemes.jsonc in the folder of a settings file; without it the solver's defaults."""
+        path = Path(settings).with_name("schemes.jsonc")
+        if not path.exists():
+            warn_once(f"schemes {path}", f"no {path}: the solver's defaults are used")
+            return cls({}, defaults or {})
+        return cls.from_config(parse(path.read_text(encoding="utf-8")).value, defaults)
+
     def resolve(self, family: str, operand: str) -> str:
         """The scheme of a family for an operand such as "phi", "phi,x" or "u,phi"."""
         entries, call = self.sections.get(family, {}), _CALL.get(family, family)

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field as attribute, replace
 
 from ..errors import ConfigError, ValidationError
 from ..operators.reduce import check_health
+from ..sources.scratch import remove, stored
 from .expr import Expr, field, halo, operators, samples
 from .lower import Grid
 from .schemes import Schemes, template
@@ -18,7 +19,8 @@ class System:
     """Auxiliary fields are defined by expressions, unknowns evolve by rates, external steps are functions Grid -> Grid.
 
     Auxiliaries are computed again only when something they read, or a
-    resource they declare, has changed.
+    resource they declare, has changed. The state is stored every
+    store_every steps, so plans stay as large as those of a few steps.
     """
 
     grid: Grid
@@ -34,6 +36,8 @@ class System:
     computed: dict[str, tuple] = attribute(default_factory=dict)
     step: int = 0
     time: float = 0.0
+    store_every: int = 4
+    path: str | None = None
 
     def define(self, name: str, e: Expr, resources: set[str] | None = None) -> None:
         self._writer(name)
@@ -123,6 +127,15 @@ class System:
         for _, fn in self.after:
             self.grid = fn(self.grid)
         self.step, self.time = self.step + 1, self.time + dt
+        if self.step % self.store_every == 0:
+            self.store()
+
+    def store(self) -> None:
+        """Write the state and go on from the table; the table before is removed."""
+        df, new = stored(self.grid.df)
+        if self.path:
+            remove(df.sparkSession, self.path)
+        self.grid, self.path = self.grid.with_df(df), new
 
     def advance_adaptive(self, dt: float, control) -> float:  # noqa: ANN001
         """A step whose size follows the largest rate; returns it."""
@@ -133,6 +146,8 @@ class System:
         self.refresh()
         dt = control.next(dt, max(rates(self.grid, self.evolutions, self.params).first()))
         self.advance(dt)
+        if self.step % self.store_every:  # the next step looks at the whole state at once
+            self.store()
         return dt
 
     def check(self, limit: float = float("inf")) -> None:

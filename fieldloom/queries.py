@@ -16,11 +16,11 @@ from . import models, oracle
 from .functions import material
 from .mesh import Mesh
 from .operators import anisotropy, diagnostics, elastic, faces, index, lattice, mask, meshmap, noise, reduce, simplex, solvers, stencils
-from .operators.boundary import NOFLUX, PERIODIC, REFLECT, Boundary, Rule, fixed
-from .oracle import BOX, GRID, LINE, chain, sql, stage, with_steps
+from .operators.boundary import NOFLUX, PERIODIC, REFLECT, Boundary, fixed
+from .oracle import BOX, GRID, LINE, chain, sql, with_steps
 from .plans import expr as ex
 from .plans.arrays import evolve
-from .plans.expr import Expr, Vector, const, coord, field
+from .plans.expr import Expr, Vector, coord, field
 from .plans.lower import Grid
 from .plans.schemes import Schemes
 from .plans.system import System
@@ -614,23 +614,6 @@ grid_query("linear_operators", lambda m: {"lap": solvers.laplace(m, 2.0, 0.5)(P)
 }, digits=9)
 
 
-@query("cg_residual", "SELECT true AS solved")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = ingest.lineitem_grid(spark, sf_dir)
-    g = g.with_df(g.df.select("i", "j", "k", F.lit(0.0).alias("x"), F.col("p").alias("b")))
-    s = solvers.System(solvers.laplace(g.mesh), 1.0, 0.25)
-    got = solvers.conjugate_gradient(g, "x", "b", s, 1e-8, 40).grid
-    return got.select({"r": field("b") - s.apply(field("x"))}).agg((F.max(F.abs("r")) < 1e-6).alias("solved"))
-
-
-@query("imex_step", "SELECT true AS solved")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = ingest.lineitem_grid(spark, sf_dir)
-    g = g.with_df(g.df.select("i", "j", "k", "p", F.col("p").alias("old")))
-    got = ev.imex_step(g, "p", 1.0, 0.25, tolerance=1e-8)
-    return got.select({"r": P - 0.25 * stencils.laplacian(P, got.mesh) - field("old")}).agg((F.max(F.abs("r")) < 1e-6).alias("solved"))
-
-
 # engines
 _LB = lattice.Lattice(0.8, (0.001, 0.0))
 
@@ -693,7 +676,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("noise_fields")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = ingest.lineitem_grid(spark, sf_dir).df
-    return df.select("i", "j", "k", *[noise.sample(kind, 7, 0.5, 1.0).alias(kind.lower()) for kind in noise.KINDS])
+    return _rounded(df.select("i", "j", "k", *[noise.sample(kind, 7, 0.5, 1.0).alias(kind.lower()) for kind in noise.KINDS]), 6)
 
 
 @query("ranked_cells", with_steps(" SELECT i, j, k, v, CAST(row_number() OVER (PARTITION BY j ORDER BY v DESC, i) AS INT) AS r FROM g QUALIFY r <= 3"))
@@ -701,10 +684,3 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest three cells of each grid line."""
     df = ingest.lineitem_grid(spark, sf_dir).df
     return df.select("i", "j", "k", "v", F.row_number().over(Window.partitionBy("j").orderBy(F.desc("v"), "i")).alias("r")).filter("r <= 3")
-
-
-def rules() -> dict[str, Rule]:
-    return dict(SIDES)
-
-
-assert stage  # re-exported for tests

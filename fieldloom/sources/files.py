@@ -3,15 +3,18 @@
 A file is one field on a mesh, cells in x-fastest order. Readers take whole
 files as bytes through Spark's reader and decode them in tasks; a file is
 the unit of parallelism, and large states belong in Parquet (`save`,
-`load`), which is the native restart format. Single-file writers need the
-order, so they go through sorted rows and stream them to one writer.
+`load`), which is the native restart format. Single-file writers (`write`)
+sort rows by ranges, encode every range in its task, and pass the pieces on
+one by one, so the driver holds one piece at a time. `binary`, `dat`, `vti`
+and the others build a whole file in memory and refuse meshes of more than
+MOST_CELLS cells.
 """
 
 from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -86,8 +89,16 @@ def read(spark: SparkSession, path: str, mesh: Mesh, name: str, components: int
     return files.mapInPandas(run, ", ".join(["i int, j int, k int", *(f"{c} double" for c in columns), "file string"]))
 
 
-def ordered(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """Values in x-fastest order, as (component, cell); for single-file exports of one field."""
+#: Cells of a file that is built in memory.
+MOST_CELLS = 1 << 24
+#: Rows of one encoded piece of a streamed file.
+PIECE_ROWS = 1 << 17
+
+
+def ordered(df: DataFrame, columns: list[str], cells: int) -> np.ndarray:
+    """Values in x-fastest order, as (component, cell); for single-file exports of small fields."""
+    if cells > MOST_CELLS:
+        raise IOFailure("write", f"{cells} cells are too many for a file in memory", "use write")
     rows = df.select(*KEYS, *columns).orderBy("k", "j", "i")
     return np.array([[r[c] for c in columns] for r in rows.toLocalIterator(prefetchPartitions=True)]).T.reshape(len(columns), -1)
 
@@ -96,7 +107,7 @@ def binary(df: DataFrame, mesh: Mesh, name: str, columns: list[str] | None = Non
     columns = columns or [name]
     kind = "ScalarField" if len(columns) == 1 else "VectorField"
     lines = [f"# {kind}", f"name {name}", *([f"nComponents {len(columns)}"] if len(columns) > 1 else []), "nx ny nz {} {} {}".format(*mesh.n), f"ghost {ghost}", "---", ""]
-    return "\n".join(lines).encode() + ordered(df, columns).astype("<f8").tobytes()
+    return "\n".join(lines).encode() + ordered(df, columns, mesh.cells).astype("<f8").tobytes()
 
 
 def dat_lines(df: DataFrame, mesh: Mesh, columns: list[str]) -> DataFrame:
@@ -114,37 +125,124 @@ def dat(df: DataFrame, mesh: Mesh, name: str, columns: list[str] | None = None)
 def vti(df: DataFrame, mesh: Mesh, name: str, columns: list[str] | None = None, double: bool = False) -> bytes:
     """ImageData with one appended raw block of cell values, preceded by its length."""
     columns = columns or [name]
-    kind, word = ("<f8", "Float64") if double else ("<f4", "Float32")
-    block = np.ascontiguousarray(ordered(df, columns).T.astype(kind)).tobytes()
+    block = np.ascontiguousarray(ordered(df, columns, mesh.cells).T.astype("<f8" if double else "<f4")).tobytes()
+    head, tail = _vti_frame(mesh, name, len(columns), double)
+    return head + struct.pack("<Q", len(block)) + block + tail
+
+
+def _vti_frame(mesh: Mesh, name: str, components: int, double: bool) -> tuple[bytes, bytes]:
+    """What stands before the block's length and after the block."""
+    word = "Float64" if double else "Float32"
     extent = " ".join(f"0 {n}" for n in mesh.n)
     origin, spacing = (" ".join(repr(float(x)) for x in v) for v in (mesh.origin, mesh.d))
     xml = (
         f'<?xml version="1.0"?>\n<VTKFile type="ImageData" version="1.0" byte_order="LittleEndian" header_type="UInt64">\n'
         f'<ImageData WholeExtent="{extent}" Origin="{origin}" Spacing="{spacing}">\n<Piece Extent="{extent}">\n<CellData Scalars="{name}">\n'
-        f'<DataArray type="{word}" Name="{name}" NumberOfComponents="{len(columns)}" format="appended" offset="0"/>\n'
+        f'<DataArray type="{word}" Name="{name}" NumberOfComponents="{components}" format="appended" offset="0"/>\n'
         f'</CellData>\n</Piece>\n</ImageData>\n<AppendedData encoding="raw">\n_'
     )
-    return xml.encode() + struct.pack("<Q", len(block)) + block + b"\n</AppendedData>\n</VTKFile>\n"
+    return xml.encode(), b"\n</AppendedData>\n</VTKFile>\n"
 
 
 def vtk_legacy(df: DataFrame, mesh: Mesh, name: str) -> bytes:
     """Structured points, big-endian floats, origin at the first cell centre."""
+    return _legacy_head(mesh, name) + ordered(df, [name], mesh.cells)[0].astype(">f4").tobytes() + b"\n"
+
+
+def _legacy_head(mesh: Mesh, name: str) -> bytes:
     origin = [o + 0.5 * d if a < mesh.dim else o for a, (o, d) in enumerate(zip(mesh.origin, mesh.d, strict=True))]
     head = "# vtk DataFile Version 3.0\n{}\nBINARY\nDATASET STRUCTURED_POINTS\nDIMENSIONS {} {} {}\nORIGIN {} {} {}\nSPACING {} {} {}\nPOINT_DATA {}\nSCALARS {} float 1\nLOOKUP_TABLE default\n"
-    return head.format(name, *mesh.n, *origin, *mesh.d, mesh.cells, name).encode() + ordered(df, [name]).astype(">f4").tobytes() + b"\n"
+    return head.format(name, *mesh.n, *origin, *mesh.d, mesh.cells, name).encode()
 
 
 def vts(df: DataFrame, mesh: Mesh, name: str) -> str:
     """StructuredGrid in text, nodes spelled out."""
-    extent = " ".join(f"0 {n - 1}" for n in mesh.n)
     ax = [[o + (i + 0.5) * d if a < mesh.dim else o for i in range(n)] for a, (n, d, o) in enumerate(zip(mesh.n, mesh.d, mesh.origin, strict=True))]
-    points = "\n".join(f"{x!r} {y!r} {z!r}" for z in ax[2] for y in ax[1] for x in ax[0])
-    data = "\n".join(repr(float(v)) for v in ordered(df, [name])[0])
-    return (
-        f'<?xml version="1.0"?>\n<VTKFile type="StructuredGrid" version="0.1" byte_order="LittleEndian">\n<StructuredGrid WholeExtent="{extent}">\n<Piece Extent="{extent}">\n'
-        f'<Points><DataArray type="Float64" NumberOfComponents="3" format="ascii">\n{points}\n</DataArray></Points>\n'
-        f'<PointData Scalars="{name}"><DataArray type="Float64" Name="{name}" format="ascii">\n{data}\n</DataArray></PointData>\n</Piece>\n</StructuredGrid>\n</VTKFile>\n'
-    )
+    points = "".join(f"{x!r} {y!r} {z!r}\n" for z in ax[2] for y in ax[1] for x in ax[0])
+    data = "".join(f"{float(v)!r}\n" for v in ordered(df, [name], mesh.cells)[0])
+    head, middle, tail = (x.decode() for x in _vts_frame(mesh, name))
+    return head + points + middle + data + tail
+
+
+def _vts_frame(mesh: Mesh, name: str) -> tuple[bytes, bytes, bytes]:
+    """What stands before the points, between points and values, and after them."""
+    extent = " ".join(f"0 {n - 1}" for n in mesh.n)
+    head = f'<?xml version="1.0"?>\n<VTKFile type="StructuredGrid" version="0.1" byte_order="LittleEndian">\n<StructuredGrid WholeExtent="{extent}">\n<Piece Extent="{extent}">\n<Points><DataArray type="Float64" NumberOfComponents="3" format="ascii">\n'
+    middle = f'</DataArray></Points>\n<PointData Scalars="{name}"><DataArray type="Float64" Name="{name}" format="ascii">\n'
+    return head.encode(), middle.encode(), b"</DataArray></PointData>\n</Piece>\n</StructuredGrid>\n</VTKFile>\n"
+
+
+def encoded(df: DataFrame, columns: list[str], encode: Callable[[dict[str, np.ndarray]], bytes]) -> DataFrame:
+    """One column, data: pieces of a file in x-fastest order, encoded in the tasks; partitions are in order."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PIECE_ROWS):
+                part = batch.slice(at, PIECE_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array([encode({c: part.column(c).to_numpy(zero_copy_only=False) for c in part.schema.names})], pa.binary())], ["data"])
+
+    rows = df.select(*KEYS, *[F.col(c).cast("double").alias(c) for c in columns])
+    return rows.repartitionByRange("k", "j", "i").sortWithinPartitions("k", "j", "i").mapInArrow(run, "data binary")
+
+
+def streamed(spark: SparkSession, path: str, parts: Iterable[bytes | DataFrame]) -> None:
+    """Write bytes and encoded tables one after the other to a file of any of Spark's file systems; it takes its name when it is whole."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    begun = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(begun, True)
+    try:
+        for part in parts:
+            for piece in [part] if isinstance(part, bytes) else (r["data"] for r in part.toLocalIterator()):
+                out.write(bytearray(piece))
+    finally:
+        out.close()
+    fs.delete(where, False)
+    if not fs.rename(begun, where):
+        raise IOFailure("write", f"{path} can't be renamed")
+
+
+def _numbers(kind: str, columns: list[str]) -> Callable[[dict[str, np.ndarray]], bytes]:
+    return lambda rows: np.ascontiguousarray(np.stack([rows[c] for c in columns], axis=1).astype(kind)).tobytes()
+
+
+def _lines(mesh: Mesh, columns: list[str], places: bool, form: str) -> Callable[[dict[str, np.ndarray]], bytes]:
+    """Text rows of coordinates (places) and values."""
+
+    def run(rows: dict[str, np.ndarray]) -> bytes:
+        at = [mesh.origin[a] + (rows[k] + 0.5) * mesh.d[a] if a < mesh.dim else np.full(len(rows[k]), mesh.origin[a]) for a, k in enumerate(KEYS)] if places else []
+        table = np.stack([*at, *(rows[c] for c in columns)], axis=1)
+        return "".join(" ".join(form % x for x in row) + "\n" for row in table.tolist()).encode()
+
+    return run
+
+
+def write(df: DataFrame, mesh: Mesh, path: str, name: str, kind: str = "BINARY", columns: list[str] | None = None, ghost: int = 1) -> None:
+    """One field as one file: BINARY, DAT, VTI, VTI_F64, VTK_BIN or VTS (VTK); PARQUET writes a table."""
+    columns, spark = columns or [name], df.sparkSession
+    nx = "{} {} {}".format(*mesh.n)
+    if kind == "PARQUET":
+        df.select(*KEYS, *columns).write.mode("overwrite").parquet(path)
+    elif kind == "BINARY":
+        type_ = "ScalarField" if len(columns) == 1 else "VectorField"
+        head = [f"# {type_}", f"name {name}", *([f"nComponents {len(columns)}"] if len(columns) > 1 else []), f"nx ny nz {nx}", f"ghost {ghost}", "---", ""]
+        streamed(spark, path, ["\n".join(head).encode(), *(encoded(df, [c], _numbers("<f8", [c])) for c in columns)])
+    elif kind == "DAT":
+        head = ["# field - DAT", f"# name: {name}", f"# nx ny nz: {nx}", "# x y z value", ""]
+        streamed(spark, path, ["\n".join(head).encode(), encoded(df, columns, _lines(mesh, columns, True, "%.17e"))])
+    elif kind in ("VTI", "VTI_F64"):
+        double = kind == "VTI_F64"
+        head, tail = _vti_frame(mesh, name, len(columns), double)
+        size = mesh.cells * len(columns) * (8 if double else 4)
+        streamed(spark, path, [head + struct.pack("<Q", size), encoded(df, columns, _numbers("<f8" if double else "<f4", columns)), tail])
+    elif kind == "VTK_BIN":
+        streamed(spark, path, [_legacy_head(mesh, name), encoded(df, columns[:1], _numbers(">f4", columns[:1])), b"\n"])
+    elif kind in ("VTS", "VTK"):
+        head, middle, tail = _vts_frame(mesh, name)
+        streamed(spark, path, [head, encoded(df, [], _lines(mesh, [], True, "%r")), middle, encoded(df, columns[:1], _lines(mesh, columns[:1], False, "%r")), tail])
+    else:
+        raise ConfigError("output", f"unknown format {kind}", f"one of {sorted(FORMATS)}")
 
 
 def collection(entries: DataFrame, new: DataFrame, restart: float | None = None) -> DataFrame:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field as attribute
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import NumericsError, ValidationError
 from ..mesh import KEYS
 from ..plans.lower import Grid
+from ..sources.scratch import remove, stored
 
 
 @dataclass
@@ -18,7 +20,9 @@ class MovingFrame:
     """Shift content one cell towards the low (towards="high") or high end; the leading slice is a constant, or its old value plus a slope.
 
     fill: {field: ("constant", v) | ("slope", dv)}. conveyor: keeps exiting
-    slices in a table with the shift's number.
+    slices in a table with the shift's number. A shift is one projection:
+    keys move, and cells of the leading slice become two rows. The state is
+    stored every store_every shifts.
     """
 
     axis: int
@@ -27,6 +31,8 @@ class MovingFrame:
     record: bool = False
     shifts: int = 0
     conveyor: DataFrame | None = None
+    store_every: int = 8
+    paths: list[str] = attribute(default_factory=list)
 
     def shift(self, grid: Grid) -> Grid:
         if grid.mesh.dim > 2 or self.towards not in ("high", "low"):
@@ -36,16 +42,31 @@ class MovingFrame:
         if self.record:
             out = grid.df.filter(F.col(key) == leave).withColumn("shift", F.lit(self.shifts))
             self.conveyor = out if self.conveyor is None else self.conveyor.unionByName(out)
-        moved = grid.df.filter(F.col(key) != leave).withColumn(key, F.col(key) + move)
         values = {}
         for name in grid.fields:
             kind, v = self.fill.get(name, ("slope", 0.0))
             if kind not in ("constant", "slope"):
                 raise ValidationError("MovingFrame", f"unknown fill {kind}")
             values[name] = F.lit(float(v)) if kind == "constant" else F.col(name) + F.lit(float(v))
-        fresh = grid.df.filter(F.col(key) == lead).withColumns(values)
+        columns = grid.df.columns
+        moved = F.struct(*[(F.col(c) + move if c == key else F.col(c)).alias(c) for c in columns])
+        fresh = F.struct(*[values.get(c, F.col(c)).alias(c) for c in columns])
+        rows = F.array_compact(F.array(F.when(F.col(key) != leave, moved), F.when(F.col(key) == lead, fresh)))
+        df = grid.df.select(F.explode(rows).alias("__r")).select("__r.*")
         self.shifts += 1
-        return grid.with_df(moved.unionByName(fresh))
+        if self.shifts % self.store_every == 0:
+            df = self._stored(df)
+        return grid.with_df(df)
+
+    def _stored(self, df: DataFrame) -> DataFrame:
+        old = list(self.paths)
+        df, path = stored(df)
+        self.paths = [path]
+        if self.conveyor is not None:
+            self.conveyor, path = stored(self.conveyor)
+            self.paths.append(path)
+        remove(df.sparkSession, *old)
+        return df
 
     def track(self, grid: Grid, position: Callable[[Grid], float], anchor: float) -> Grid:
         """Shift until the position is back at the anchor."""
@@ -57,15 +78,37 @@ class MovingFrame:
 
 
 class Log:
-    """A time series of doubles with fixed columns; rows are few (one a diagnosed step) and go out as CSV or a table."""
+    """A time series of doubles with fixed columns; rows are few (one a diagnosed step) and go out as CSV or a table.
 
-    def __init__(self, columns: list[str]):
-        self.columns, self.rows = columns, []
+    path: a file on the driver that gets the head at once and every row as
+    it comes. append: go on with a file that is there; its columns must be
+    the same.
+    """
+
+    def __init__(self, columns: list[str], path: str | None = None, append: bool = False):
+        self.columns, self.rows, self.path = columns, [], Path(path) if path else None
+        if self.path and append and self.path.exists():
+            head = self.path.read_text(encoding="utf-8").split("\n", 1)[0]
+            if head != ",".join(columns):
+                raise ValidationError("Log", f"{path} has the columns {head}")
+        elif self.path:
+            self.path.parent.mkdir(parents=True, exist_ok=True)
+            self.path.write_text(",".join(columns) + "\n", encoding="utf-8")
 
     def add(self, *row: float) -> None:
         if len(row) != len(self.columns):
             raise ValidationError("Log", f"{len(row)} values for {len(self.columns)} columns")
         self.rows.append(tuple(map(float, row)))
+        if self.path:
+            with self.path.open("a", encoding="utf-8") as file:  # closed, so flushed, with every row
+                file.write(",".join(map(repr, self.rows[-1])) + "\n")
+
+    def publish(self, folder: str, name: str, notes: dict[str, str]) -> None:
+        """The whole series and its description, name.csv and meta.yaml, in a folder on the driver."""
+        where = Path(folder)
+        where.mkdir(parents=True, exist_ok=True)
+        (where / f"{name}.csv").write_text(self.csv(), encoding="utf-8")
+        (where / "meta.yaml").write_text(self.metadata(name, notes), encoding="utf-8")
 
     def frame(self, spark):  # noqa: ANN001, ANN201
         return spark.createDataFrame(self.rows, ", ".join(f"`{c}` double" for c in self.columns))
