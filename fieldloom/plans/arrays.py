@@ -30,8 +30,8 @@ _BINARY = {
 }
 
 
-def evaluate(e: Expr, sample: Callable[[str, tuple[int, int, int]], np.ndarray], place: Callable[[int], np.ndarray], params: dict[str, float], seen: dict | None = None) -> np.ndarray:
-    """The expression on arrays; place(axis): coordinates of cell centres."""
+def evaluate(e: Expr, sample: Callable[[str, tuple[int, int, int]], np.ndarray], place: Callable[[int, int], np.ndarray], params: dict[str, float], seen: dict | None = None) -> np.ndarray:
+    """The expression on arrays; place(axis, by): coordinates of cell centres so many cells on."""
     seen = {} if seen is None else seen
     if e in seen:
         return seen[e]
@@ -42,7 +42,7 @@ def evaluate(e: Expr, sample: Callable[[str, tuple[int, int, int]], np.ndarray],
         elif e.op == "param":
             out = np.float64(params[e.payload])
         elif e.op == "coord":
-            out = place(e.payload[0])
+            out = place(*e.payload)
         elif e.op == "sample":
             out = sample(*e.payload)
         elif e.op in _UNARY:
@@ -62,6 +62,11 @@ def evaluate(e: Expr, sample: Callable[[str, tuple[int, int, int]], np.ndarray],
     return out
 
 
+def positions(mesh: Mesh, axis: int, lo: int, hi: int, by: int = 0) -> np.ndarray:
+    """Coordinates of cells lo to hi, moved by so many cells; cells beyond the mesh have those of the cells that they repeat."""
+    return (mesh.origin[axis] + (np.arange(lo, hi) % mesh.n[axis] + 0.5 + by) * mesh.d[axis]).reshape((1, -1) if axis == 0 else (-1, 1))
+
+
 def _padded(values: np.ndarray, lo: tuple[int, int], n: tuple[int, int], rules: Boundary) -> np.ndarray:
     """Cells beyond the domain set by the rules, y first and then x; values[y, x] begins at cell lo = (x, y)."""
     for axis in (1, 0):
@@ -142,7 +147,7 @@ def _round(grid: Grid, mesh: Mesh, rhs: dict[str, Expr], read: list[str], dt: fl
         for f in read:
             state[f] = np.zeros(shape)
             state[f][py[good], px[good]] = rows[f].to_numpy()[good]
-        place = lambda axis: (mesh.origin[axis] + (np.arange(lo[axis], hi[axis]) + 0.5) * mesh.d[axis]).reshape((1, -1) if axis == 0 else (-1, 1))
+        place = lambda axis, by: positions(mesh, axis, lo[axis], hi[axis], by)
         for _ in range(steps):
             for f in read:
                 _padded(state[f], lo, n, rules[f])

@@ -20,11 +20,12 @@ from .operators import anisotropy, faces, index, lattice, noise, solvers, stenci
 from .operators.boundary import NOFLUX, PERIODIC, Boundary, by_patch, custom, fixed, from_config, wall_value
 from .oracle import BOX, GRID, chain, with_steps
 from .plans import expr as ex
-from .plans.expr import Vector, field, names
+from .plans.blocks import Blocks
+from .plans.expr import Expr, Vector, field, names
 from .plans.schemes import Schemes
 from .queries import _AX, _D, _F4, _FACE, _FEQ, _ISO, _L, _W4, ORACLES, P, Q, UX, UY, V, W, _aniso_sql, _axis, _noflux_grid, _populations, _rounded, grid_query, query
 from .sources import files, ingest
-from .sources.initial import make
+from .sources.initial import make, spinodal
 from .sources.scratch import folder
 from .streaming import evolve as ev
 from .streaming.frame import MovingFrame
@@ -511,3 +512,44 @@ def _file_query(name: str, kind: str, columns: tuple[str, ...]) -> None:
 _file_query("file_binary", "BINARY", ("p",))
 _file_query("file_text", "DAT", ("p",))
 _file_query("file_vector", "BINARY", ("ux", "uy"))
+
+
+# long runs on packed tiles
+C, MU = field("c"), field("mu")
+
+
+def spinodal_parts(mesh: Mesh, c: Expr = C) -> tuple[dict[str, Expr], dict[str, Expr], dict[str, Expr]]:
+    """(definitions, rates, energy density and amount) of the spinodal benchmark."""
+    define = {"mu": 10 * (c - 0.3) * (c - 0.7) * (2 * c - 1) - 2 * stencils.laplacian(c, mesh)}
+    sums = {"free_energy": mesh.volume * (5 * (c - 0.3) * (c - 0.3) * (0.7 - c) * (0.7 - c) + stencils.grad_squared(c, mesh)), "total_c": mesh.volume * c}
+    return define, {"c": 5 * stencils.laplacian(MU, mesh)}, sums
+
+
+def spinodal_start(spark: SparkSession, n: int, tile: tuple[int, int]) -> Blocks:
+    """The benchmark's composition, sampled at cell corners as in its published runs."""
+    mesh = Mesh.uniform(n, n, origin=(-0.5, -0.5))
+    return Blocks.of(make(spark, mesh, {"c": spinodal()}, Boundary.all(PERIODIC)), tile)
+
+
+_CH = [({"mu": lambda n: f"2*(t.c-0.25::DOUBLE)*(t.c-0.75::DOUBLE)*(2*t.c-1)-0.5*{_L('c')(n)}"}, ("c",)), ({"c": lambda n: f"t.c+0.03125::DOUBLE*{_L('mu')(n)}"}, ())]
+
+
+@query("spinodal_blocks", chain([({"c": lambda n: "t.p"}, ()), *_CH * 4], _fields(9, "g9", "c")))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four steps on four tiles, three of them between two exchanges."""
+    g = ingest.lineitem_grid(spark, sf_dir)
+    blocks = Blocks.of(g.with_df(g.df.select("i", "j", "k", F.col("p").alias("c"))), (16, 12))
+    define = {"mu": 2 * (C - 0.25) * (C - 0.75) * (2 * C - 1) - 0.5 * stencils.laplacian(C, g.mesh)}
+    return _rounded(blocks.advance({"c": stencils.laplacian(MU, g.mesh)}, 0.03125, 4, define, 3).grid().df, 9)
+
+
+_WAVES = "0.5+0.01*(cos(0.105*{x})*cos(0.11*{y})+pow(cos(0.13*{x})*cos(0.087*{y}),2)+cos(0.025*{x}-0.15*{y})*cos(0.07*{x}-0.02*{y}))"
+_WAVE = lambda x, y: "(" + _WAVES.replace("{x}", x).replace("{y}", y) + ")"
+
+
+@query("spinodal_energy", f"""WITH s AS (SELECT x, y, {_WAVE('x', 'y')} AS c, {_WAVE('((x+1)%200)', 'y')}-{_WAVE('((x+199)%200)', 'y')} AS dx, {_WAVE('x', '((y+1)%200)')}-{_WAVE('x', '((y+199)%200)')} AS dy FROM range(200) a(x), range(200) b(y))
+ SELECT ROUND(SUM(5*pow((c-0.3)*(0.7-c),2)+(dx*dx+dy*dy)/4), 6) AS free_energy, ROUND(SUM(c), 6) AS total_c FROM s""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's first energy, 319.093816, on 200 x 200 cells."""
+    blocks = spinodal_start(spark, 200, (100, 50))
+    return _rounded(blocks.sums(spinodal_parts(blocks.mesh)[2]), 6)

@@ -8,16 +8,19 @@ from test_grid import array
 from fieldloom.errors import ConfigError, NumericsError, ValidationError
 from fieldloom.mesh import Mesh, Patch
 from fieldloom.operators import reduce, solvers, stencils
-from fieldloom.operators.boundary import NOFLUX, PERIODIC, Boundary, Rule, by_patch, custom, fixed, from_config, register, wall_value
+from fieldloom.operators.boundary import NOFLUX, PERIODIC, REFLECT, Boundary, Rule, by_patch, custom, fixed, from_config, register, wall_value
 from fieldloom.plans import expr as ex
 from fieldloom.plans.arrays import evolve
+from fieldloom.plans.blocks import Blocks
 from fieldloom.plans.expr import coord, field
 from fieldloom.plans.lower import Grid
 from fieldloom.plans.schemes import Schemes
 from fieldloom.plans.system import System
 from fieldloom.sources import files, initial
 from fieldloom.sources.initial import make
+from fieldloom.queries_more import spinodal_parts, spinodal_start
 from fieldloom.sources.output import OutputWriter, by_settings
+from fieldloom.sources.scratch import stored
 from fieldloom.streaming import evolve as ev
 from fieldloom.streaming.frame import Log, MovingFrame
 from fieldloom.timers import Timers
@@ -75,6 +78,42 @@ def test_tiles_are_stored_between_rounds(spark):
         evolve(Grid(grid.df, grid.mesh, {}, Boundary.all(wall_value(1.0))), rhs, 0.1, 1)
 
 
+@pytest.mark.parametrize("sides", [(PERIODIC, PERIODIC), (NOFLUX, fixed(0.5)), (REFLECT, NOFLUX)])
+def test_blocks_equal_steps(spark, sides):
+    """Any tiles, any number of steps between exchanges, auxiliary fields with their own ghosts."""
+    boundary = Boundary(sides if sides[0] is not PERIODIC else (PERIODIC, PERIODIC), (NOFLUX, NOFLUX) if sides[0] is NOFLUX else (PERIODIC, PERIODIC))
+    mesh = Mesh.uniform(24, 16)
+    grid = make(spark, mesh, {"p": "random:0:1", "q": 0.01 * coord(0)}, boundary)
+    grid = grid.with_df(stored(grid.df)[0])
+    define = {"m": P * P - stencils.laplacian(P, mesh)}
+    rhs = {"p": stencils.laplacian(field("m"), mesh) + 0.1 * field("q"), "q": stencils.laplacian(field("q"), mesh) * P + 0.01 * coord(1)}
+    steps = grid
+    for _ in range(5):
+        steps = ev.euler_step(steps.assign(define), rhs, 0.01)
+        steps = steps.with_df(stored(steps.df.drop("m"))[0])
+    for tile, depth in (((24, 16), 9), ((8, 8), 2), ((12, 16), 2), ((24, 4), 1)):
+        got = Blocks.of(grid, tile).advance(rhs, 0.01, 5, define, depth)
+        back = got.grid().df
+        assert max(reduce.difference(steps.df, back, f).first()["max_diff"] for f in "pq") < 1e-14
+    assert got.sums({"s": P}).first()["s"] == pytest.approx(steps.df.agg(F.sum("p")).first()[0])
+    with pytest.raises(ValidationError):
+        Blocks.of(grid, (7, 8))
+    with pytest.raises(ValidationError):
+        Blocks.of(grid, (1, 16)).advance(rhs, 0.01, 1, define)
+
+
+def test_golden_energies(spark):
+    """The published energies of the spinodal benchmark: first ones of three meshes, and that after 10,000 steps on 200 x 200 cells."""
+    for n, energy, total in ((200, 319.093815835, 20101.904734), (1024, 8363.67875796, 526932.751492), (2048, 33454.8030, None)):
+        blocks = spinodal_start(spark, n, (n // 2, n // 2))
+        got = blocks.sums(spinodal_parts(blocks.mesh)[2]).first()
+        assert got["free_energy"] == pytest.approx(energy, rel=1e-9 if total else 1e-8) and (total is None or got["total_c"] == pytest.approx(total, rel=1e-11))
+    start = spinodal_start(spark, 200, (200, 200))
+    define, rhs, sums = spinodal_parts(start.mesh)
+    end = start.advance(rhs, 1e-3, 10_000, define).sums(sums).first()
+    assert end["free_energy"] == pytest.approx(297.774416207, rel=1e-10) and end["total_c"] == pytest.approx(20101.904734, rel=1e-11)
+
+
 # boundaries
 
 
