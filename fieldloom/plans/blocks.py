@@ -207,17 +207,28 @@ class Blocks:
             done += now
         return out
 
-    def sums(self, outputs: dict[str, Expr], define: dict[str, Expr] | None = None, params: dict[str, float] | None = None) -> DataFrame:
-        """One row with the sum of each expression over all cells."""
+    def _once(self, outputs: dict[str, Expr], define: dict[str, Expr] | None, params: dict[str, float] | None, made: Callable[[np.ndarray], pa.Array], kind: str) -> DataFrame:
+        """One exchange; made(a tile's values) for each output."""
         reach = self._plan(define or {}, outputs)
         several = [c > 1 for c in self.count]
         width, ghost = tuple(reach if s else 0 for s in several), tuple(0 if s else reach for s in several)
+        if any(w > t for w, t in zip(width, self.tile, strict=True)):
+            raise ValidationError("Blocks", f"tiles of {self.tile} are smaller than the {reach} cells that are read")
         values, tile = self._stage(define or {}, outputs, params or {}, width, reach), self.tile
 
         def run(where: tuple[int, int], state: dict[str, np.ndarray]) -> dict:
             state = {f: np.pad(x, ((ghost[1],) * 2, (ghost[0],) * 2)) for f, x in state.items()}
             at = tuple(slice((width[a] or ghost[a]), (width[a] or ghost[a]) + tile[a]) for a in (1, 0))
-            return {f: pa.array([float(x[at].sum())], pa.float64()) for f, x in values(where, state, {}).items()}
+            return {f: made(x[at]) for f, x in values(where, state, {}).items()}
+
+        return self._exchanged(width, run, ", ".join(f"`{f}` {kind}" for f in outputs))
 
-        parts = self._exchanged(width, run, ", ".join(f"`{f}` double" for f in outputs))
+    def select(self, outputs: dict[str, Expr], define: dict[str, Expr] | None = None, params: dict[str, float] | None = None) -> Blocks:
+        """Expressions of the fields, in the same tiles."""
+        df = self._once(outputs, define, params, lambda x: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()), "binary")
+        return replace(self, df=df, fields=tuple(outputs), path=None)
+
+    def sums(self, outputs: dict[str, Expr], define: dict[str, Expr] | None = None, params: dict[str, float] | None = None) -> DataFrame:
+        """One row with the sum of each expression over all cells."""
+        parts = self._once(outputs, define, params, lambda x: pa.array([float(x.sum())], pa.float64()), "double")
         return parts.agg(*[F.sum(f).alias(f) for f in outputs])
