@@ -24,9 +24,13 @@ WHITE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: More of these than a tenth of a line's word characters: a line of marks.
 MARKS = "#*$%&|<>!=~^_{}[]\\"
+#: In English, German, French and Spanish.
 BOILERPLATE = (
     "all rights reserved", "licensed under", "released under the", "cookie", "privacy policy", "terms of use", "terms of service",
     "lorem ipsum", "enable javascript", "click here", "subscribe", "skip to content", "powered by",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerkl", "impressum",
+    "tous droits réservés", "mentions légales", "conditions d'utilisation", "politique de confidentialité",
+    "todos los derechos reservados", "aviso legal", "términos de uso", "política de privacidad",
 )
 #: What a line of fewer than three words must end with.
 TERMINAL = ".!?:;,)\"'\u2026\u3002\u00bb\u201d"
