@@ -532,7 +532,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, rate in rates.items():
         s.evolve(name, rate)
     s.advance(0.001)
-    return _rounded(simplex.project(s.grid.df.select("i", "j", "k", "a", "b", "c"), ["a", "b", "c"]), 9)
+    return _rounded(simplex.project(s.grid.df.select("i", "j", "k", "a", "b", "c"), ["a", "b", "c"]), 7)
 
 
 @query("dendrite_step")

@@ -18,7 +18,7 @@ from .functions import material
 from .mesh import Mesh, Patch
 from .operators import anisotropy, faces, index, lattice, noise, solvers, stencils
 from .operators.boundary import NOFLUX, PERIODIC, Boundary, by_patch, custom, fixed, from_config, wall_value
-from .oracle import BOX, GRID, chain, with_steps
+from .oracle import BOX, chain, with_steps
 from .plans import expr as ex
 from .plans.blocks import Blocks
 from .plans.expr import Expr, Vector, field, names
@@ -136,7 +136,7 @@ def _simplex_sql(source: str, columns: str, passes: int) -> str:
         moved = ", ".join(f"CASE WHEN neg THEN CASE WHEN {c}>0 THEN {c}-d/m ELSE 0 END ELSE {c} END AS {c}" for c in columns)
         out += f", s{k} AS (SELECT i, j, k, {moved} FROM ({counted}))"
         at = f"s{k}"
-    return out + " SELECT i, j, k, " + ", ".join(f"ROUND(greatest({c}, 0), 9) + 0.0 AS {c}" for c in columns) + f" FROM {at}"
+    return out + " SELECT i, j, k, " + ", ".join(f"ROUND(greatest({c}, 0), 7) + 0.0 AS {c}" for c in columns) + f" FROM {at}"
 
 
 ORACLES["multiphase_step"] = chain([
