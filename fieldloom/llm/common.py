@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -85,7 +86,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, raw
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `most` bytes of `column` each (one row at least): bounds memory for long texts."""
     for batch in batches:
         offsets, _ = buffers(batch.column(column))
@@ -95,3 +96,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+    _trim()
+
+
+def _trim() -> None:
+    """Give memory that is free back to the system: idle workers of later stages would keep it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+_LIBC = ctypes.CDLL(None)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, staged, table, texts
-from .tokens import encoder, tokenizer_path
+from .tokens import TEXT_BYTES, encoder, tokenizer_path
 
 CAPACITY, END_ID = 4096, 1
 
@@ -177,7 +177,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         from pyspark import TaskContext
 
         task, seen, encode = TaskContext.get().partitionId(), {}, encoder(path).encode
-        for batch in pieces(batches, "raw"):
+        for batch in pieces(batches, "raw", TEXT_BYTES):
             rows = []
             ids, starts = encode(batch.column("raw"), END_ID)
             ids = ids.astype("<u4", copy=False)

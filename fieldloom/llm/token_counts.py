@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, staged, table
-from .tokens import encoder, tokenizer_path
+from .tokens import TEXT_BYTES, encoder, tokenizer_path
 
 #: Lengths of one range of the running sums.
 RANGE = 4096
@@ -32,7 +32,7 @@ def histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, seen = encoder(path).lengths, Counter()
-        for batch in pieces(batches, "raw"):
+        for batch in pieces(batches, "raw", TEXT_BYTES):
             seen.update(lengths(batch.column("raw")).tolist())
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["n_tokens", "n_docs"])

@@ -23,8 +23,8 @@ import pyarrow as pa
 from . import textvec
 from .common import buffers
 
-#: The table is emptied beyond this many chunks.
-MOST_CHUNKS = 800_000
+#: The table is emptied beyond this many chunks; bytes of text that are encoded at once. Both bound a worker's memory.
+MOST_CHUNKS, TEXT_BYTES = 500_000, 2 << 20
 #: Marks that may be cut off a chunk's end when what stands before is a letter or digit: they always begin a new pre-token.
 TAIL = re.compile(rb"^(.*?)([.,!?;:*$%&#|]+)$", re.S)
 
