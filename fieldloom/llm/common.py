@@ -36,10 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Files of a staged table for each core, at most: small tables over many partitions would else be thousands of tiny files.
+FILES = 4
+
+
 def staged(df: DataFrame) -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/staged/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.coalesce(FILES * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec
-from .common import buffers, pieces, released, shared_dir, staged, table, texts
+from .common import FILES, buffers, pieces, released, shared_dir, staged, table, texts
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 FREQUENT_BITS, SKETCH_BITS, DEPTH = 22, 27, 3
@@ -470,7 +470,7 @@ def scored(docs: DataFrame) -> DataFrame:
     rows = f"array<struct<doc_id:{name},held_out:boolean,n_tokens:long,known:long,base:double,gain:double>>"
     asking = texts(docs.select("doc_id", "text", held_out().alias("held_out")), "held_out").mapInArrow(_asking(sent, buckets), f"batch long, bucket long, rows {rows}, a binary, b binary, c binary, d binary")
     path = f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}"
-    asking.withColumn("question", F.col("bucket").isNotNull()).write.partitionBy("question").parquet(path)
+    asking.withColumn("question", F.col("bucket").isNotNull()).coalesce(FILES * spark.sparkContext.defaultParallelism).write.partitionBy("question").parquet(path)
     asked = spark.read.schema(T.StructType([*asking.schema, T.StructField("question", T.BooleanType())])).parquet(path)
     questions, own = asked.filter("question").select("batch", "bucket", "a", "b"), asked.filter("not question").drop("question")
     held = counts.mapInArrow(_held(0, buckets), "bucket long, kind int, h binary, v binary").unionByName(tree.select("key", "value").mapInArrow(_held(1, buckets), "bucket long, kind int, h binary, v binary"))
