@@ -33,6 +33,7 @@ word is unknown; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -57,6 +58,8 @@ LEAST_COUNT, DISCOUNT, GAIN = 3, 0.75, 6.0
 DIGITS = 8
 BASE, INVERSE = np.uint64(textvec.BASE), np.uint64(pow(textvec.BASE, -1, 1 << 64))
 LEVELS = textvec.seeds(DEPTH + 1, 47)
+#: Longer words, in bytes, are hashed by BLAKE2: from 512 on, plain patterns make polynomials modulo 2^64 equal.
+LONG_WORD = 128
 
 
 def held_out() -> F.Column:
@@ -65,7 +68,13 @@ def held_out() -> F.Column:
 
 def stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes (each text's words, then END) and where each text begins."""
-    words, starts = textvec.words(*buffers(column))
+    offsets, raw = buffers(column)
+    places: list[tuple[np.ndarray, np.ndarray]] = []
+    (words,), starts = textvec.heads(offsets, raw, (0,), places=places)
+    if places:
+        begins, ends = (np.concatenate(x) for x in zip(*places, strict=True))
+        for k in np.flatnonzero(ends - begins > LONG_WORD):
+            words[k] = int.from_bytes(hashlib.blake2b(raw[begins[k] : ends[k]].tobytes().lower(), digest_size=8).digest(), "little")
     out = np.full(len(words) + len(starts) - 1, END, np.uint64)
     to = starts + np.arange(len(starts))
     out[np.arange(len(words)) + textvec.owners(starts)] = words
@@ -344,9 +353,7 @@ def _asking(sent, buckets: int):  # noqa: ANN001, ANN202
     """One row for each batch with its texts' sums and where its answers belong, and one for each bucket that it asks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        own, number = sent.value, TaskContext.get().partitionId() << 33
+        own = sent.value
         lookup, frequent = textvec.Lookup(own.words), textvec.Lookup(own.keys)
         log = own.base(own.counts.astype(float))
         for batch in pieces(batches, "raw", BATCH_BYTES):
@@ -370,7 +377,8 @@ def _asking(sent, buckets: int):  # noqa: ANN001, ANN202
                 different, at = np.unique(h, return_inverse=True)
                 questions.append(different)
                 parts += [packed(np.diff(text[where], prepend=0).astype(np.uint32)), packed(at.astype(np.uint32))]
-            n = batch.num_rows
+            # the batch's name is its first row's: a task's own number would be one for all partitions that coalesce() gives it
+            n, number = batch.num_rows, batch.column("row")[0].as_py()
             rows = pa.StructArray.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(starts)), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1])], ["doc_id", "held_out", "n_tokens", "known", "base", "gain"])
             requests: dict[int, list[bytes]] = {}
             for kind, h in enumerate(questions):
@@ -384,7 +392,6 @@ def _asking(sent, buckets: int):  # noqa: ANN001, ANN202
                 "c": pa.array([parts[2], *none], pa.binary()), "d": pa.array([parts[3], *none], pa.binary()),
             }
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-            number += 1
 
     return run
 
@@ -468,7 +475,7 @@ def scored(docs: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
     name = docs.schema["doc_id"].dataType.simpleString()
     rows = f"array<struct<doc_id:{name},held_out:boolean,n_tokens:long,known:long,base:double,gain:double>>"
-    asking = texts(docs.select("doc_id", "text", held_out().alias("held_out")), "held_out").mapInArrow(_asking(sent, buckets), f"batch long, bucket long, rows {rows}, a binary, b binary, c binary, d binary")
+    asking = texts(docs.select("doc_id", "text", held_out().alias("held_out"), F.monotonically_increasing_id().alias("row")), "held_out", "row").mapInArrow(_asking(sent, buckets), f"batch long, bucket long, rows {rows}, a binary, b binary, c binary, d binary")
     path = f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}"
     asking.withColumn("question", F.col("bucket").isNotNull()).coalesce(FILES * spark.sparkContext.defaultParallelism).write.partitionBy("question").parquet(path)
     asked = spark.read.schema(T.StructType([*asking.schema, T.StructField("question", T.BooleanType())])).parquet(path)

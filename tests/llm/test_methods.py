@@ -417,6 +417,28 @@ def test_a_phrase_stays_however_large_the_corpus(spark, monkeypatch, bits):
         assert got[d] == pytest.approx(expected, abs=1e-6)
 
 
+@pytest.mark.parametrize("parts", [3, 40])
+def test_base_scores_however_many_partitions(spark, parts):
+    """More partitions than a staged table gets files: then one task makes the batches of several."""
+    rows = [(k, " ".join(f"w{k * j % 37}" for j in range(1 + k % 30)) + f" seldom{k // 2}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = [tuple(r) for r in lm_scoring.scored(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score").collect()]
+    for own, plain in zip(sorted(got), sorted(brute.unigram(rows)), strict=True):
+        assert own == pytest.approx(plain, abs=1e-6)
+
+
+@pytest.mark.parametrize("doublings", [10, 12])
+def test_long_words_of_equal_polynomials_stay_apart(spark, doublings):
+    a = "a"
+    for _ in range(doublings):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = list(enumerate([f"{a} x", b, f"{b} {a.upper()}", f"{b[:-1]} {a}", "x", f"{b}c {b}"]))
+    got = [tuple(r) for r in lm_scoring.scored(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score").collect()]
+    for own, plain in zip(sorted(got), sorted(brute.unigram(rows)), strict=True):
+        assert own == pytest.approx(plain, abs=1e-6)
+
+
 # toxicity
 
 
