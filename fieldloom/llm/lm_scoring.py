@@ -36,13 +36,13 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import textvec
 from .common import FILES, buffers, pieces, released, shared_dir, staged, table, texts
@@ -58,6 +58,9 @@ LEAST_COUNT, DISCOUNT, GAIN = 3, 0.75, 6.0
 DIGITS = 8
 BASE, INVERSE = np.uint64(textvec.BASE), np.uint64(pow(textvec.BASE, -1, 1 << 64))
 LEVELS = textvec.seeds(DEPTH + 1, 47)
+#: Bytes of a row group of packed rows. Parquet's writer looks at its size after 100 rows first, which are 0.5 GB of a
+#: batch's own rows; a reader then makes one batch of such a group.
+GROUP_BYTES = 8 << 20
 #: Longer words, in bytes, are hashed by BLAKE2: from 512 on, plain patterns make polynomials modulo 2^64 equal.
 LONG_WORD = 128
 
@@ -81,6 +84,24 @@ def stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, to
 
 
+def small_groups() -> dict[str, str]:
+    """Options of the Parquet writer for rows that may have MBs each."""
+    checks = {f"parquet.{x}.size.row.check.{k}": v for x in ("block", "page") for k, v in (("min", "1"), ("max", "100"))}
+    return checks | {"parquet.block.size": str(GROUP_BYTES), "parquet.enable.dictionary": "false"}
+
+
+@contextmanager
+def writers_at_once(spark: SparkSession, n: int) -> Iterator[None]:
+    """Tasks that write n partitions keep a file open for each: they don't sort their rows, which takes memory and spills."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @dataclass
 class Model:
     """What tasks get: frequent words, frequent sequences of the tree, and a bit table of the sequences to ask for."""
@@ -278,7 +299,7 @@ def learned(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame, int]:
     train = texts(docs.filter(~held_out())).select("raw")
     buckets = buckets_of(docs)
     counted = train.mapInArrow(_words(buckets), "bucket long, h binary, n binary").groupBy("bucket").applyInArrow(_merged_words, "bucket long, h binary, n binary, words long, tokens long")
-    counts, _ = staged(counted)
+    counts, _ = staged(counted, **small_groups())
     total = counts.agg(F.sum("words"), F.sum("tokens")).first()
     v, n = total[0] or 0, total[1] or 0
     least = -(-n >> FREQUENT_BITS)
@@ -477,11 +498,13 @@ def scored(docs: DataFrame) -> DataFrame:
     rows = f"array<struct<doc_id:{name},held_out:boolean,n_tokens:long,known:long,base:double,gain:double>>"
     asking = texts(docs.select("doc_id", "text", held_out().alias("held_out"), F.monotonically_increasing_id().alias("row")), "held_out", "row").mapInArrow(_asking(sent, buckets), f"batch long, bucket long, rows {rows}, a binary, b binary, c binary, d binary")
     path = f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}"
-    asking.withColumn("question", F.col("bucket").isNotNull()).coalesce(FILES * spark.sparkContext.defaultParallelism).write.partitionBy("question").parquet(path)
-    asked = spark.read.schema(T.StructType([*asking.schema, T.StructField("question", T.BooleanType())])).parquet(path)
+    asking = asking.withColumn("question", F.col("bucket").isNotNull()).coalesce(FILES * spark.sparkContext.defaultParallelism)
+    with writers_at_once(spark, 2):
+        asking.write.options(**small_groups()).partitionBy("question").parquet(path)
+    asked = spark.read.schema(asking.schema).parquet(path)
     questions, own = asked.filter("question").select("batch", "bucket", "a", "b"), asked.filter("not question").drop("question")
     held = counts.mapInArrow(_held(0, buckets), "bucket long, kind int, h binary, v binary").unionByName(tree.select("key", "value").mapInArrow(_held(1, buckets), "bucket long, kind int, h binary, v binary"))
-    answers, _ = staged(questions.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(_answered, "batch long, bucket long, a binary, b binary"))
+    answers, _ = staged(questions.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(_answered, "batch long, bucket long, a binary, b binary"), **small_groups())
     released(spark, [f"{path}/question=true"])
     schema = f"doc_id {name}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lift double"
     return own.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_summed(model.n, model.n + 0.5 * (model.v + 1)), schema)

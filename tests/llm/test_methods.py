@@ -8,6 +8,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -439,6 +440,25 @@ def test_long_words_of_equal_polynomials_stay_apart(spark, doublings):
         assert own == pytest.approx(plain, abs=1e-6)
 
 
+def test_packed_rows_are_written_in_small_groups(spark, monkeypatch, tmp_path):
+    """Parquet's writer and reader hold a group of rows at once: its size must not follow the number of batches."""
+    monkeypatch.setattr(lm_scoring, "shared_dir", lambda _: f"file://{tmp_path}")
+    monkeypatch.setattr(lm_scoring, "GROUP_BYTES", 1 << 16, raising=False)
+    monkeypatch.setattr(lm_scoring, "BATCH_BYTES", 1 << 14)
+    monkeypatch.setattr(lm_scoring, "FREQUENT_BITS", 2)
+    rng = random.Random(6)
+    rows = [(k, " ".join(f"word{rng.randrange(10**6)}" for _ in range(2000))) for k in range(90)]
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    out = lm_scoring.scored(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert spark.conf.get(name) == before
+    files = [pq.ParquetFile(x).metadata for x in tmp_path.glob("staged/*/question=false/*.parquet")]
+    groups = [m.row_group(k) for m in files for k in range(m.num_row_groups)]
+    assert sum(x.num_rows for x in groups) == 90
+    assert max(x.total_byte_size for x in groups) < 8 << 16
+    assert {r["doc_id"]: r["n_known"] for r in out.collect()} == {r[0]: r[3] for r in brute.unigram(rows)}
+
+
 # toxicity
 
 
